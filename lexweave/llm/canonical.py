@@ -229,7 +229,7 @@ class Matcher:
                 article = True
             elif near is None or (near not in SECTION_WORDS):
                 words.append(t)
-        if not words and left[-1:] == ["S"] and len(left) > 1:
+        if not words and left[-1:] == ["S"] and (law or len(left) > 1):
             words = ["S"]  # a misread 5 after the word for section
         if law is None and words and re.match(r"(?i)a\b", words[0]) and len(words) > 1 and section_number(words[1]):
             article, words = True, words[1:]

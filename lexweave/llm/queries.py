@@ -50,3 +50,36 @@ def p3_mentions(spark, folder):
 def p3_unmatched(spark, folder):
     """The references that mean no entry, and how often each is typed."""
     return p3_mentions(spark, folder).where("entry_id = -1").groupBy("mention").agg(F.count("*").alias("times"))
+
+
+@query
+def p4_found(spark, folder):
+    from lexweave.llm.pieces import long_sentences
+
+    return long_sentences(table(spark, folder, "judgments_paragraphs"), ["case_id", "para_id"], "text")
+
+
+@query
+def p4_pieces(spark, folder):
+    from lexweave.llm.pieces import split_long
+
+    return split_long(table(spark, folder, "judgments_paragraphs"), ["case_id", "para_id"], "text")
+
+
+@query
+def p6_found(spark, folder):
+    return p6_held(spark, folder).select("doc_id", "item_id")
+
+
+@query
+def p6_held(spark, folder):
+    """The documents with the items they hold, and how many of the item's runs of five words."""
+    from lexweave.llm.leakage import leaked
+
+    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+@query
+def p6_items(spark, folder):
+    """Per evaluation item, the number of documents that hold it."""
+    return p6_held(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
