@@ -83,3 +83,33 @@ def p6_held(spark, folder):
 def p6_items(spark, folder):
     """Per evaluation item, the number of documents that hold it."""
     return p6_held(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def _mixture(spark, folder):
+    from lexweave.llm.mixing import Mixture
+
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query
+def p7_mix(spark, folder):
+    """The documents used, and how often."""
+    return _mixture(spark, folder).chosen
+
+
+@query
+def p7_shares(spark, folder):
+    """Per source the target and what was reached."""
+    return _mixture(spark, folder).shares
+
+
+@query
+def p8_found(spark, folder):
+    return p8_pages(spark, folder).select("doc_id")
+
+
+@query
+def p8_pages(spark, folder):
+    from lexweave.llm.keyword_pages import keyword_pages
+
+    return keyword_pages(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
