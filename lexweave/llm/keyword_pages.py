@@ -24,6 +24,8 @@ from lexweave.session import durable
 BINS = 25
 CHUNK = 20
 LEAST_WORDS = 12
+#: Share of a page that counts as most of it, with room for the measure's error on short pages of sentences.
+MOST = 0.58
 
 # Function words of the two languages of the corpus, without those usual in
 # keywords ("in", "will", "only", "no").
@@ -163,4 +165,4 @@ def keyword_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     high = F.lit(False)
     for s in shares:
         high = high | (F.col(s) > F.coalesce(F.col(f"usual_{s}"), F.lit(0.0)))
-    return j.where((F.col("spam_share") > 0.5) & high).select("id", "script", "spam_share", *shares).distinct()
+    return j.where((F.col("spam_share") > MOST) & high).select("id", "script", "spam_share", *shares).distinct()
