@@ -113,3 +113,17 @@ def p8_pages(spark, folder):
     from lexweave.llm.keyword_pages import keyword_pages
 
     return keyword_pages(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def p2_found(spark, folder):
+    from lexweave.llm.scans import Scans
+
+    return Scans(table(spark, folder, "pdf_pages")).found()
+
+
+@query
+def p2_paragraphs(spark, folder):
+    from lexweave.llm.scans import Scans
+
+    return Scans(table(spark, folder, "pdf_pages")).paragraphs()
