@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from lexweave.plans import nested_queries
+
+QUERIES: dict = {**nested_queries.QUERIES}
 ORACLES: dict = {}
