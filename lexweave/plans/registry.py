@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.plans import nested_queries
+from lexweave.plans import base, nested_queries, statute_queries, text_queries  # noqa: F401
 
-QUERIES: dict = {**nested_queries.QUERIES}
-ORACLES: dict = {}
+QUERIES: dict = {**base.QUERIES, **nested_queries.QUERIES}
+ORACLES: dict = dict(base.ORACLES)
