@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.plans import base, nested_queries, statute_queries, text_queries  # noqa: F401
+from lexweave.plans import base, nested_queries, segment_queries, statute_queries, text_queries  # noqa: F401
 
 QUERIES: dict = {**base.QUERIES, **nested_queries.QUERIES}
 ORACLES: dict = dict(base.ORACLES)
