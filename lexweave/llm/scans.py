@@ -126,8 +126,13 @@ def edge_lines(lines: list[str]) -> list[int]:
 # ---------------------------------------------------------------- the line model
 
 
-def observe(lines: list[str], repeated: set[int]) -> list[list[str] | None]:
-    """The features of each line, None for a blank one. repeated: hashes of templates that recur in the PDF."""
+def _word_feature(token: str) -> str:
+    w = core(token)
+    return "w=#" if re.fullmatch(r"[IVXLivxl]*", w) else "w=" + re.sub(r"\d+", "#", w.lower())
+
+
+def observe(lines: list[str], repeated: set[int], seen: dict[str, str]) -> list[list[str] | None]:
+    """The features of each line, None for a blank one. repeated: hashes of templates that recur in the PDF; seen: remembers words' features."""
     full = [i for i, x in enumerate(lines) if x.strip()]
     width = float(np.median([len(lines[i].strip()) for i in full])) if full else 1.0
     widest = max((len(lines[i].rstrip()) for i in full), default=1)
@@ -151,9 +156,15 @@ def observe(lines: list[str], repeated: set[int]) -> list[list[str] | None]:
             f"start={'lower' if re.match(r"[a-z]{2}", x) and not re.fullmatch(r"[ivxl]+", x) else 'caps' if x.isupper() and len(x) > 3 else 'other'}",
             f"run={'on' if k and before[-1:] not in '.?!:' and len(before) > 0.8 * widest else 'new'}",
         ]
-        for w in {core(w) for w in words[:12]}:
-            if w:
-                f.append("w=" + (re.sub(r"\d+", "#", w.lower()) if not re.fullmatch(r"[IVXLivxl]+", w) else "#"))
+        own = set()
+        for w in words[:12]:
+            x = seen.get(w)
+            if x is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                x = seen[w] = _word_feature(w)
+            own.add(x)
+        f += own
         out[i] = f
     return out
 
@@ -162,7 +173,8 @@ class LineModel:
     """Emission weights (log of a feature's share among furniture over that among body) and transitions."""
 
     def __init__(self, pages: list[tuple[list[str], set[int]]], rounds: int = 4):
-        seen = [observe(lines, rep) for lines, rep in pages]
+        words: dict[str, str] = {}
+        seen = [observe(lines, rep, words) for lines, rep in pages]
         labels = [[None if f is None else self.seed(f) for f in page] for page in seen]
         self.rare: set[str] = set()
         count = Counter(x for page in seen for f in page if f for x in f)
@@ -226,38 +238,44 @@ class LineModel:
 # ---------------------------------------------------------------- words
 
 
-def _tokens(line: str) -> list[str]:
-    return [t for t in map(core, line.split()) if t]
-
-
-def page_words(lines: list[str]):
-    """The words of a page, in lower case, without the parts of words divided at line ends."""
+def page_tokens(lines: list[str]):
+    """The tokens of a page, line by line, without the parts of words divided at line ends."""
     skip = False
     for x in lines:
-        tokens = _tokens(x)
+        tokens = x.split()
         if not tokens:
             continue
         cut = bool(_DIVIDED.search(x.rstrip()))
-        for t in tokens[1 if skip else 0 : -1 if cut else None]:
-            if is_word(t):
-                yield t.lower()
-        for t in filter(None, map(signed, x.split())):
-            yield t.lower()
+        yield tokens[1 if skip else 0 : -1 if cut else None]
         skip = cut
 
 
+def forms(token: str) -> list[str]:
+    """The words that a token may stand for, in lower case: the word in it, and that with a sign at its edge."""
+    t, s = core(token), signed(token)
+    return ([t.lower()] if t and is_word(t) else []) + ([s.lower()] if s else [])
+
+
 def vocabulary(pages: DataFrame) -> DataFrame:
     """(word, n): the words of all pages and how often they stand there; each task adds up its own first."""
 
     def count(batches):
+        def words(tokens: Counter) -> pd.DataFrame:
+            c: Counter = Counter()
+            for t, n in tokens.items():
+                for w in forms(t):
+                    c[w] += n
+            return pd.DataFrame({"word": list(c), "n": list(c.values())})
+
         c: Counter = Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                c.update(page_words(lines_of(text)))
-            if len(c) > 300_000:
-                yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+                for tokens in page_tokens(lines_of(text)):
+                    c.update(tokens)
+            if len(c) > 500_000:
+                yield words(c)
                 c = Counter()
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+        yield words(c)
 
     return pages.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -380,19 +398,30 @@ class Scans:
 
         def label(batches):
             m, maybe = model.value, table.value
+            known: dict[str, list[tuple[str, str]]] = {}
+            seen: dict[str, str] = {}
+
+            def judge(token: str) -> list[tuple[str, str]]:
+                """What a token is under suspicion of, remembered."""
+                v = known.get(token)
+                if v is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    t = core(token)
+                    if t and is_word(t) and noisy(t):
+                        v = [("noisy", t)]
+                    else:
+                        w = forms(token)
+                        v = [("maybe", x) for x, hit in zip(w, maybe[_places(w)]) if hit] if w else []
+                    known[token] = v
+                return v
+
             for pdf in batches:
                 rows = []
                 for i, n, text, rep in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"]):
-                    for r in _page_rows(lines_of(text), set() if rep is None else set(map(int, rep)), m):
+                    for r in _page_rows(lines_of(text), set() if rep is None else set(map(int, rep)), m, judge, seen):
                         rows.append((i, n, *r))
-                out = pd.DataFrame(rows, columns=["pdf_id", "page_number", "line_no", "kind", "word", "other"])
-                if len(out):
-                    w = (out["kind"] == "maybe").to_numpy()
-                    keep = np.ones(len(out), bool)
-                    if w.any():
-                        keep[w] = maybe[_places(out["word"][w])]
-                    out = out[keep]
-                yield out
+                yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "line_no", "kind", "word", "other"])
 
         return self.input.mapInPandas(label, "pdf_id long, page_number int, line_no int, kind string, word string, other string")
 
@@ -430,10 +459,11 @@ class Scans:
         usual = self.pages.sparkSession.sparkContext.broadcast({r["word"] for r in hyphens})
 
         def assemble(batches):
+            seen: dict[str, str] = {}
             for pdf in batches:
                 rows = []
                 for i, n, text, rep in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"]):
-                    for k, (para, on) in enumerate(_page_paragraphs(lines_of(text), set() if rep is None else set(map(int, rep)), model.value, meant.value, usual.value), 1):
+                    for k, (para, on) in enumerate(_page_paragraphs(lines_of(text), set() if rep is None else set(map(int, rep)), model.value, meant.value, usual.value, seen), 1):
                         rows.append((i, n, k, para, on))
                 yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "part", "text", "runs_on"])
 
@@ -448,8 +478,8 @@ class Scans:
         return whole.select("pdf_id", "page_number", F.col("para_no").cast("int").alias("para_no"), text.alias("text"))
 
 
-def _page_rows(lines, repeated, model):
-    labels = model.viterbi(observe(lines, repeated))
+def _page_rows(lines, repeated, model, judge, seen):
+    labels = model.viterbi(observe(lines, repeated, seen))
     body = [i for i, y in enumerate(labels) if y == BODY]
     for i, y in enumerate(labels):
         if y == FURNITURE:
@@ -474,16 +504,12 @@ def _page_rows(lines, repeated, model):
                 if in_first or in_rest:
                     yield (i if in_first else body[k + 1]) + 1, "noisy", whole, None
                 elif is_word(whole):
-                    best = next((at for v, at in variants(whole.lower())), 0)
-                    yield (i if best < len(stem) - 1 else body[k + 1]) + 1, "maybe", whole.lower(), None
-        for t in map(core, tokens[1 if rest else 0 : -1 if m else None]):
-            if t and is_word(t):
-                if noisy(t):
-                    yield i + 1, "noisy", t, None
-                else:
-                    yield i + 1, "maybe", t.lower(), None
-        for t in filter(None, map(signed, tokens)):
-            yield i + 1, "maybe", t.lower(), None
+                    best = next((at for v, at in variants(whole.lower())), 0) if judge(whole) else 0
+                    for kind, w in judge(whole):
+                        yield (i if best < len(stem) - 1 else body[k + 1]) + 1, kind, w, None
+        for t in tokens[1 if rest else 0 : -1 if m else None]:
+            for kind, w in judge(t):
+                yield i + 1, kind, w, None
         rest = bool(m)
 
 
@@ -496,9 +522,9 @@ def _repair(token: str, meant: dict) -> str:
     return token.replace(t, v, 1)
 
 
-def _page_paragraphs(lines, repeated, model, meant, usual):
+def _page_paragraphs(lines, repeated, model, meant, usual, seen):
     """(text, whether it goes on from the page before) of the page's paragraphs."""
-    labels = model.viterbi(observe(lines, repeated))
+    labels = model.viterbi(observe(lines, repeated, seen))
     body = [len(lines[i].rstrip()) for i, y in enumerate(labels) if y == BODY]
     full = max(body, default=0)
     out, now, last = [], [], None
