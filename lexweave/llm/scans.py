@@ -156,14 +156,14 @@ def observe(lines: list[str], repeated: set[int], seen: dict[str, str]) -> list[
             f"start={'lower' if re.match(r"[a-z]{2}", x) and not re.fullmatch(r"[ivxl]+", x) else 'caps' if x.isupper() and len(x) > 3 else 'other'}",
             f"run={'on' if k and before[-1:] not in '.?!:' and len(before) > 0.8 * widest else 'new'}",
         ]
-        own = set()
+        own: dict[str, None] = {}
         for w in words[:12]:
             x = seen.get(w)
             if x is None:
                 if len(seen) > 500_000:
                     seen.clear()
                 x = seen[w] = _word_feature(w)
-            own.add(x)
+            own[x] = None
         f += own
         out[i] = f
     return out
@@ -206,12 +206,13 @@ class LineModel:
                     step[last, y] += 1
                 last = y
         self.weight = {x: float(np.clip(np.log((n[FURNITURE][x] + 0.5) / (total[FURNITURE] + 1) / ((n[BODY][x] + 0.5) / (total[BODY] + 1))), -4, 4)) for x in {*n[BODY], *n[FURNITURE]}}
-        self.step = np.log(step / step.sum(axis=1, keepdims=True))
+        self.step = np.log(step / step.sum(axis=1, keepdims=True)).tolist()
         self.prior = float(np.clip(np.log((total[FURNITURE] + 1) / (total[BODY] + 1)), -4, 4))
 
     def score(self, f: list[str]) -> float:
-        layout = sum(self.weight.get(x, 0.0) for x in f[:9])
-        words = [self.weight.get(x if x in self.known else "w=?", 0.0) for x in f[9:]]
+        get, other = self.weight.get, self.weight.get("w=?", 0.0)
+        layout = sum([get(x, 0.0) for x in f[:9]])
+        words = [get(x, other) for x in f[9:]]
         # words depend on each other: a few of them tell as much as all
         return self.prior + layout + (sum(words) / len(words) * min(3, len(words)) if words else 0.0)
 
@@ -364,7 +365,7 @@ class Scans:
         self.pages = p
         self.words = durable(vocabulary(p))
         self.misread = durable(misread_words(self.words))
-        repeated = self._repeated(p)
+        repeated = durable(self._repeated(p))
         self.input = p.dropDuplicates(["pdf_id", "page_number"]).join(repeated, ["pdf_id", "page_number"], "left")
         sample = self.input.orderBy(F.xxhash64("pdf_id", "page_number")).limit(SAMPLE_PAGES).select("text", "repeated").collect()
         spark = p.sparkSession
