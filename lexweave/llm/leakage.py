@@ -67,11 +67,12 @@ class Index:
         self.least = np.maximum(1, self.need - np.array(short[self.q], np.int64)) if texts else self.need
         grams, item, word, run, fits = [], [], [], [], []
         for k, (_, data, starts, runs, lens) in enumerate(texts):
-            n = len(runs)
-            grams.append(_qgrams(data, starts, self.q)[:n])
-            item.append(np.full(n, k))
-            word.append(np.arange(n))
-            run.append(runs)
+            n, m = len(runs), len(starts)
+            grams.append(_qgrams(data, starts, self.q))
+            item.append(np.full(m, k))
+            word.append(np.arange(m))
+            # the last words start no run; their mark equals no document's
+            run.append(np.r_[runs, np.ones(m - n, np.uint64)])
             # how many q-grams starting in a run of words end in it
             inside = np.array([sum(starts[p] + self.q <= starts[r] + lens[r] for p in range(r, r + words)) for r in range(n)])
             fits.append(int(inside[inside > 0].min(initial=words)))

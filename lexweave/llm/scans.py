@@ -30,6 +30,8 @@ SAMPLE_PAGES = 1_500
 EDGE = 4
 BODY, FURNITURE, BREAK = 0, 1, 2
 BLOOM_BITS = 23
+#: Words that the repair of paragraphs holds in every task, checked; `found` has no such bound.
+MOST_WORDS = 1_000_000
 
 # What characters are misread for, (what stands there, what was meant).
 CONFUSIONS = [
@@ -452,12 +454,14 @@ class Scans:
         Furniture is dropped, divided words are joined, misread words replaced by what was meant.
         """
         model = self.model
-        few = self.misread.limit(500_001).count()
-        if few > 500_000:
-            raise ValueError("more misread words than a task may hold; repair by joining on the word")
-        meant = self.pages.sparkSession.sparkContext.broadcast({r["word"]: r["meant"] for r in self.misread.collect()})
-        hyphens = self.words.where("word like '%-%' and n > 2").select("word").limit(200_000).collect()
-        usual = self.pages.sparkSession.sparkContext.broadcast({r["word"] for r in hyphens})
+        spark = self.pages.sparkSession
+        joined = self.words.select(F.regexp_replace("word", "-", "").alias("joined"), "word", "n").where("word like '%-%'")
+        own = joined.join(self.words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left").where("n > coalesce(n_joined, 0)").select("word")
+        for what, rows in (("misread", self.misread), ("hyphened", own)):
+            if rows.limit(MOST_WORDS + 1).count() > MOST_WORDS:
+                raise ValueError(f"more than {MOST_WORDS} {what} words: too many to be held by every task")
+        meant = spark.sparkContext.broadcast({r["word"]: r["meant"] for r in self.misread.collect()})
+        usual = spark.sparkContext.broadcast({r["word"] for r in own.collect()})
 
         def assemble(batches):
             seen: dict[str, str] = {}
