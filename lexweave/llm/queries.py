@@ -127,3 +127,13 @@ def p2_paragraphs(spark, folder):
     from lexweave.llm.scans import Scans
 
     return Scans(table(spark, folder, "pdf_pages")).paragraphs()
+
+
+_GRAMS = r"""select distinct {0}, unnest(list_transform(generate_series(1, len(w) - {2}), lambda j: array_to_string(w[j:j + {2}], ' '))) as g from (select {0}, regexp_extract_all(lower({1}), '[\pL\pN]+') as w from {3})"""
+
+ORACLES["p1_found"] = f"""with s as ({_GRAMS.format("case_id", "t", 2, "(select case_id, min(input_text) as t from summarization_dataset where input_text is not null group by case_id)")}),
+n as (select case_id, count(*) as n from s group by case_id), p as (select a.case_id as a, b.case_id as b, count(*) as c from s a join s b on a.g = b.g and a.case_id < b.case_id group by all)
+select p.a as case_id_a, p.b as case_id_b from p join n x on x.case_id = p.a join n y on y.case_id = p.b where p.c * 10 >= 6 * (x.n + y.n - p.c)"""
+
+ORACLES["p6_found"] = f"""with d as ({_GRAMS.format("doc_id", "text", 4, "documents")}), i as ({_GRAMS.format("item_id", "text", 4, "eval_items")}), n as (select item_id, count(*) as n from i group by item_id)
+select d.doc_id, i.item_id from d join i on i.g = d.g join n on n.item_id = i.item_id group by d.doc_id, i.item_id, n.n having count(*) * 10 >= 3 * n.n"""

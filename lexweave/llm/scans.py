@@ -278,7 +278,8 @@ def vocabulary(pages: DataFrame) -> DataFrame:
             if len(c) > 500_000:
                 yield words(c)
                 c = Counter()
-        yield words(c)
+        if c:
+            yield words(c)
 
     return pages.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -314,7 +315,8 @@ def misread_words(words: DataFrame) -> DataFrame:
                 for v, _ in variants(w):
                     r = rate(v, table)
                     rows.append((w, n, v, own, r))
-            yield pd.DataFrame(rows, columns=["word", "n", "meant", "own", "new"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "n", "meant", "own", "new"])
 
     # a word that stands among the most frequent cannot be outnumbered and needs no proposals
     top = words.agg(F.max("n")).first()[0] or 0
@@ -388,7 +390,8 @@ class Scans:
                     a += [i] * len(t)
                     b += [n] * len(t)
                     c += t
-                yield pd.DataFrame({"pdf_id": a, "page_number": np.array(b, np.int32), "t": _hash(c) if c else np.empty(0, np.int64)})
+                if c:
+                    yield pd.DataFrame({"pdf_id": a, "page_number": np.array(b, np.int32), "t": _hash(c)})
 
         e = p.mapInPandas(edges, "pdf_id long, page_number int, t long").distinct()
         often = e.groupBy("pdf_id", "t").agg(F.count("*").alias("n")).where("n > 1").select("pdf_id", "t")
@@ -424,7 +427,8 @@ class Scans:
                 for i, n, text, rep in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"]):
                     for r in _page_rows(lines_of(text), set() if rep is None else set(map(int, rep)), m, judge, seen):
                         rows.append((i, n, *r))
-                yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "line_no", "kind", "word", "other"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "line_no", "kind", "word", "other"])
 
         return self.input.mapInPandas(label, "pdf_id long, page_number int, line_no int, kind string, word string, other string")
 
@@ -470,7 +474,8 @@ class Scans:
                 for i, n, text, rep in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"]):
                     for k, (para, on) in enumerate(_page_paragraphs(lines_of(text), set() if rep is None else set(map(int, rep)), model.value, meant.value, usual.value, seen), 1):
                         rows.append((i, n, k, para, on))
-                yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "part", "text", "runs_on"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "part", "text", "runs_on"])
 
         parts = durable(self.input.mapInPandas(assemble, "pdf_id long, page_number int, part int, text string, runs_on boolean"))
         order = Window.partitionBy("pdf_id").orderBy("page_number", "part")
