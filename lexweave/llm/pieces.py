@@ -71,8 +71,10 @@ def _ends(line: str, m: re.Match, nxt: int, body: int) -> bool:
         # closed by a bracket or quotation mark: the point was the sentence's own
         return not (follow.islower() and mark[-1] in "\"'”’")
     bare = word.strip("().,;:").lower()
-    if re.fullmatch(r"[A-Za-z]", word.strip("(")) and word.strip("(") != "I":
-        return False  # an initial
+    if re.fullmatch(r"[A-Za-z]", word.strip("(")):
+        # an initial; the pronoun ends a sentence only before a word that starts one
+        first = re.match(r"[A-Za-z]+", line[nxt:]) if word == "I" else None
+        return bool(first and len(first.group()) > 1 and first.group() in STARTERS)
     if bare in ABBREVIATIONS or re.fullmatch(r"(?:[a-z]{1,3}\.)+[a-z]{1,3}", bare):
         first = re.match(r"[A-Za-z]+", line[nxt:])
         several = "." in bare and bare not in ("i.e", "e.g", "o.s", "w.p", "c.s", "c.a")

@@ -12,6 +12,7 @@ def test_sentences():
     t = '23. The sum of Rs. 4,034 was paid to Dr. A. B. Smith on 1.2.2003. "No map." That is so. (It was seen at p. 5 of the record.) In X v. Y, AIR 1990 SC 5 we held. Why? 47 persons, i.e. the clerk, came.\n(a) One; two.\n\nORDER'
     assert starts(t) == ["23. Th", '"No ma', "That i", "(It wa", "In X v", "Why? 4", "47 per", "(a) On", "ORDER"]
     assert pieces.sentence_starts("") == [] and pieces.sentence_starts("  xy. Zed") == [0, 6] and starts("in 1994. then more") == ["in 199", "then m"]
+    assert starts("It went to I. E. Smith. He and I. The end.") == ["It wen", "He and", "The en"]
 
 
 words = st.text(alphabet="ab. \n;", max_size=4000)
