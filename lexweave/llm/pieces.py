@@ -29,7 +29,7 @@ MAY_END = {"etc", "no", "nos", "ltd", "co", "anr", "ors", "pvt"}
 STARTERS = set("The A An In It If On We Such Nor Once Hence That This These Those There When Whether What Who Therefore However Moreover He She They His Her But And So As At By For From Counsel Learned Per".split())
 
 _END = re.compile(r"[.?!]+[\"'”’)\]]*(?=\s|$)")
-_LAST = re.compile(r"[^\s(\[\"'“‘]*$")
+_OPEN = "([\"'“‘"
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -63,8 +63,12 @@ def _ends(line: str, m: re.Match, nxt: int, body: int) -> bool:
     mark, follow = m.group(), line[nxt]
     if not mark.startswith("."):
         return not (len(mark) > 1 and follow.islower() and mark[-1] in "\"'”’")
-    word = _LAST.search(line, body, m.start()).group()
-    head = line[body : m.start()].strip()
+    end = m.start()
+    tail = line[max(body, end - 60) : end]
+    word = (tail.rsplit(None, 1) or [""])[-1].lstrip(_OPEN)
+    if len(mark) == 1 and len(word) > 4 and word.isalpha():
+        return word.lower() not in ABBREVIATIONS  # most sentences end in a word
+    head = tail.strip() if end - body < 12 else "too long for a number"
     if re.fullmatch(r"\(?(?:\d{1,4}|[ivxlc]{1,6}|[A-Za-z])\)?", head) or re.fullmatch(r"\(\w{1,5}\)", head):
         return False  # a paragraph number belongs to what follows
     if len(mark) > 1 and mark[1] in ")]\"'”’":
