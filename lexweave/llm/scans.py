@@ -44,9 +44,15 @@ SIGNS = "".join(sorted({a for a, _ in CONFUSIONS if not a.isalpha()}))
 _NOISE = re.compile(rf"(?:(?<=[A-Za-z])[{re.escape(SIGNS)}]+(?=[A-Za-z])|^[|@015$](?=[a-z]{{2}})|(?<=[a-z]{{2}})[|@015$]$|(?<=[a-z])[!](?=[a-z]))")
 _EDGE_MARKS = "\"'“”‘’.,;:?!()[]{}"
 _DIVIDED = re.compile(r"([^\W\d_][\w'@|!(#$-]*?)([-­¬‐])$")
+_MARKS = "-­¬‐"
 _PAGE_NUMBER = re.compile(r"[\W_]*(?:page|pg?\.?|p a g e)?[\W_]*(?:[0-9lIoOS|!]{1,4}|[ivxl]{1,6})(?:[\W_]*(?:of|/|\|)?[\W_]*(?:[0-9lIoOS|!]{1,4}|p ?a ?g ?e))?[\W_]*", re.I)
 
 
+def divided(line: str):
+    """The match of a word divided at the end of a line without white space at its end, or None."""
+    return _DIVIDED.search(line) if line and line[-1] in _MARKS else None
+
+
 def core(token: str) -> str:
     """A token without the marks around it; closing brackets and signs inside stay."""
     t = token.strip(_EDGE_MARKS)
@@ -150,12 +156,12 @@ def observe(lines: list[str], repeated: set[int], seen: dict[str, str]) -> list[
         f = [
             f"place={place}",
             f"repeated={int(i in keys and int(keys[i]) in repeated)}",
-            f"number={int(x[-1] != '.' and bool(_PAGE_NUMBER.fullmatch(x)))}",
+            f"number={int(len(x) < 48 and x[-1] != '.' and bool(_PAGE_NUMBER.fullmatch(x)))}",
             f"width={0 if len(x) < 0.4 * width else 1 if len(x) < 0.8 * width else 2}",
             f"indent={int(len(lines[i]) - len(lines[i].lstrip()) >= 4)}",
             f"gap={int('   ' in x)}",
             f"end={'stop' if x[-1] in '.?!' else 'pause' if x[-1] in ',;:-¬' + chr(173) else 'open'}",
-            f"start={'lower' if re.match(r"[a-z]{2}", x) and not re.fullmatch(r"[ivxl]+", x) else 'caps' if x.isupper() and len(x) > 3 else 'other'}",
+            f"start={'lower' if x[0].islower() and x[1:2].islower() and not (len(x) < 9 and re.fullmatch(r"[ivxl]+", x)) else 'caps' if x.isupper() and len(x) > 3 else 'other'}",
             f"run={'on' if k and before[-1:] not in '.?!:' and len(before) > 0.8 * widest else 'new'}",
         ]
         own: dict[str, None] = {}
@@ -248,7 +254,7 @@ def page_tokens(lines: list[str]):
         tokens = x.split()
         if not tokens:
             continue
-        cut = bool(_DIVIDED.search(x.rstrip()))
+        cut = bool(divided(x.rstrip()))
         yield tokens[1 if skip else 0 : -1 if cut else None]
         skip = cut
 
@@ -500,7 +506,7 @@ def _page_rows(lines, repeated, model, judge, seen):
         tokens = x.split()
         if k == 0 and tokens:
             yield i + 1, "first", core(tokens[0]), None
-        m = _DIVIDED.search(x)
+        m = divided(x)
         after = lines[body[k + 1]].split() if k + 1 < len(body) else None
         if m and after and not re.match(r"[\"'“(]?[^\W\d_]", after[0]):
             m = None  # what follows is no word
@@ -550,7 +556,7 @@ def _page_paragraphs(lines, repeated, model, meant, usual, seen):
             out.append(now)
             now = []
         if y == BODY:
-            m = _DIVIDED.search(now[-1]) if now else None
+            m = divided(now[-1]) if now else None
             if m:
                 stem, (head, _, tail) = now[-1][: m.start(2)], x.partition(" ")
                 hyphen = m.group(2) == "-" and (core(stem.split()[-1]) + "-" + core(head)).lower() in usual
