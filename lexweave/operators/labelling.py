@@ -31,14 +31,17 @@ def label(paragraphs: DataFrame, model: Column | None = None) -> DataFrame:
     A batch that rules decide throughout takes them. In others, without a model, every
     paragraph takes the router's role, else the fallback's; with a model (a column of its
     labels, null where it failed), those without a rule take its corrected label. Unusable
-    paragraphs are 'other', auto_filled, 0. The windows sort narrow rows: no text is shuffled.
+    paragraphs are 'other', auto_filled, 0. A paragraph that was sent again counts once. Rules are
+    worked out where the texts are read; duplicates and windows see narrow rows: no text is shuffled.
     """
     p = ruled(paragraphs)
     low, size = F.col("lower"), F.col("size")
     answer = F.lit(None).cast("string") if model is None else model
-    fixed = R.boost(low, R.unbias(low, R.synonym(answer)))
-    fixed = R.safety(low, size, R.unbias(low, R.boost(low, F.when(fixed.isin(R.ROLES), fixed).otherwise("other"))))
-    narrow = p.select("case_id", "para_id", "usable_for_evidence", "routed", "rule", "spare", F.when(answer.isNotNull(), fixed).alias("answer"))
+    # step by step, each a column of its own: nested in one expression they would double at every step
+    p = p.withColumn("a", R.synonym(answer)).withColumn("a", R.unbias(low, F.col("a"))).withColumn("a", R.boost(low, F.col("a")))
+    p = p.withColumn("a", F.when(F.col("a").isin(R.ROLES), F.col("a")).otherwise("other"))
+    p = p.withColumn("a", R.boost(low, F.col("a"))).withColumn("a", R.unbias(low, F.col("a"))).withColumn("a", R.safety(low, size, F.col("a")))
+    narrow = p.select("case_id", "para_id", "usable_for_evidence", "routed", "rule", "spare", F.when(answer.isNotNull(), F.col("a")).alias("answer")).dropDuplicates(["case_id", "para_id"])
     b = batched(narrow)
     failed = F.max(F.col("rule").isNull() & F.col("answer").isNull()).over(Window.partitionBy("case_id", "batch"))
     b = b.withColumn("failed", failed)
@@ -47,7 +50,7 @@ def label(paragraphs: DataFrame, model: Column | None = None) -> DataFrame:
     one = F.when(F.col("all_ruled"), three("rule", "rule", 0.9)).when(F.col("failed"), single).when(F.col("rule").isNotNull(), three("rule", "rule", 0.9))
     one = one.when(F.col("answer") == "other", three("answer", "llm", 0.5)).otherwise(three("answer", "llm", 0.8))
     done = b.select("case_id", "para_id", one.alias("x")).select("case_id", "para_id", "x.*")
-    unused = paragraphs.where(~F.coalesce("usable_for_evidence", F.lit(True))).select("case_id", "para_id", F.lit("other").alias("role"), F.lit("auto_filled").alias("source"), F.lit(0.0).alias("confidence"))
+    unused = paragraphs.where(~F.coalesce("usable_for_evidence", F.lit(True))).select("case_id", "para_id", F.lit("other").alias("role"), F.lit("auto_filled").alias("source"), F.lit(0.0).alias("confidence")).distinct()
     return done.unionByName(unused)
 
 

@@ -26,16 +26,19 @@ def validated(paragraphs: DataFrame, gate: Gate = Gate()) -> DataFrame:
     """A row per case: n, failed, long, total, argued, reasons (those against it) and valid.
 
     A paragraph's length is its stored one, if that is neither null nor 0, else its text's. Null
-    texts have no length; a null alignment_failed counts as aligned.
+    texts have no length; a null alignment_failed counts as aligned. A paragraph sent again counts
+    once; what is shuffled is a paragraph's measures, not its text.
     """
     size = F.coalesce(F.nullif("length", F.lit(0)), F.length("text"))
     roles = F.coalesce("paragraph_roles", F.array().cast("array<string>"))
-    c = paragraphs.groupBy("case_id").agg(
+    argued = F.array_contains(roles, "reasoning") | F.array_contains(roles, "facts")
+    own = paragraphs.select("case_id", "para_id", size.alias("size"), F.col("alignment_failed").alias("failed"), argued.alias("argued")).dropDuplicates(["case_id", "para_id"])
+    c = own.groupBy("case_id").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("alignment_failed")).alias("failed"),
-        F.count_if(size > gate.long_chars).alias("long"),
-        F.coalesce(F.sum(size), F.lit(0)).alias("total"),
-        F.bool_or(F.array_contains(roles, "reasoning") | F.array_contains(roles, "facts")).alias("argued"),
+        F.count_if("failed").alias("failed"),
+        F.count_if(F.col("size") > gate.long_chars).alias("long"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total"),
+        F.bool_or("argued").alias("argued"),
     )
     why = lambda test, name, value=None: F.when(test, F.lit(name) if value is None else F.concat(F.lit(name + "_"), F.col(value).cast("string")))
     reasons = F.array_compact(

@@ -33,11 +33,13 @@ union all select case_id, para_id, 'other', 'auto_filled', 0.0::double from {PAR
 
 
 def _ruled(spark, folder):
-    return labelling.ruled(paragraphs(spark, folder))
+    """The rules' columns without the texts, which are not shuffled to find what was sent again."""
+    r = labelling.ruled(table(spark, folder, "judgments_paragraphs"))
+    return r.select("case_id", "para_id", "usable_for_evidence", "routed", "rule", "spare").dropDuplicates(["case_id", "para_id"])
 
 
 def _labels(spark, folder):
-    return labelling.label(paragraphs(spark, folder))
+    return labelling.label(table(spark, folder, "judgments_paragraphs"))
 
 
 @query(f"select case_id, para_id, {_ROUTED} as role, {_SOURCE} as source from {_P}")
@@ -65,7 +67,7 @@ _CYCLE = "['facts', 'arguments', 'statutory', 'issues', 'procedural', 'other']"
 @query(f"select case_id, para_id, {_BIAS.format('r')} as unbiased, {_BOOST.format('r')} as boosted, {_SAFE} as safe from (select *, {_CYCLE}[(para_id % 6 + 1)::int] as r from {_P})")
 def role_postfix(spark, folder):
     names = F.array(*[F.lit(x) for x in ["facts", "arguments", "statutory", "issues", "procedural", "other"]])
-    p = _ruled(spark, folder).withColumn("r", F.element_at(names, (F.col("para_id") % 6 + 1).cast("int")))
+    p = labelling.ruled(paragraphs(spark, folder)).withColumn("r", F.element_at(names, (F.col("para_id") % 6 + 1).cast("int")))
     low = F.col("lower")
     return p.select("case_id", "para_id", R.unbias(low, F.col("r")).alias("unbiased"), R.boost(low, F.col("r")).alias("boosted"), R.safety(low, F.col("size"), F.col("r")).alias("safe"))
 
@@ -132,7 +134,7 @@ _FIX4 = f"(select *, {_SAFE} as answer from {_FIX3})"
 @query(f"""select case_id, para_id, coalesce(rule, answer) as role, case when rule is not null then 'rule' else 'llm' end as source, case when rule is not null then 0.9::double when answer = 'other' then 0.5::double else 0.8::double end as confidence from {_FIX4}
 union all select case_id, para_id, 'other', 'auto_filled', 0.0::double from {PARAS} where not coalesce(usable_for_evidence, true)""")
 def label_with_model(spark, folder):
-    return labelling.label(paragraphs(spark, folder), F.expr(_FAKE))
+    return labelling.label(table(spark, folder, "judgments_paragraphs"), F.expr(_FAKE))
 
 
 @query(f"select p.case_id, p.para_id, p.position, o.role from {PARAS} p left join {_OFFLINE} o on o.case_id = p.case_id and o.para_id = p.para_id")

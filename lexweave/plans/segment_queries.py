@@ -205,22 +205,22 @@ case when total < 800 then 'doc_too_short_' || total end, case when not argued a
 
 @query(f"select case_id, len(reasons) = 0 as valid, reasons from {_REASONS}")
 def validate_case(spark, folder):
-    return quality.validated(paragraphs(spark, folder)).select("case_id", "valid", "reasons")
+    return quality.validated(table(spark, folder, "judgments_paragraphs")).select("case_id", "valid", "reasons")
 
 
 @query(f"select reason, count(*) as n from (select unnest(reasons) as reason from {_REASONS}) group by 1")
 def removal_breakdown(spark, folder):
-    return quality.breakdown(quality.validated(paragraphs(spark, folder)))
+    return quality.breakdown(quality.validated(table(spark, folder, "judgments_paragraphs")))
 
 
 @query(f"select reason, count(*) as n from (select unnest(reasons) as reason from {_REASONS}) group by 1 order by n desc, reason limit 12")
 def removal_top12(spark, folder):
-    return quality.breakdown(quality.validated(paragraphs(spark, folder))).orderBy(F.desc("n"), "reason").limit(12)
+    return quality.breakdown(quality.validated(table(spark, folder, "judgments_paragraphs"))).orderBy(F.desc("n"), "reason").limit(12)
 
 
 @query(f"select count(*) as total, count(*) filter (where len(reasons) = 0) as kept, count(*) filter (where len(reasons) > 0) as removed, floor(count(*) filter (where len(reasons) = 0) * 10000.0::double / count(*) + 0.5) / 100.0::double as kept_pct from {_REASONS}")
 def filter_report(spark, folder):
-    return quality.report(quality.validated(paragraphs(spark, folder)))
+    return quality.report(quality.validated(table(spark, folder, "judgments_paragraphs")))
 
 
 @query(f"select case_id, para_id, case when length(text) > 2000 then substr(text, 1, 2000) else text end as text, case when length(text) > 2000 then 2000 else length end as length, case when length(text) > 2000 then true end as truncated from {PARAS}")
@@ -230,7 +230,7 @@ def truncate_paras(spark, folder):
 
 @query()
 def filter_metadata(spark, folder):
-    return quality.with_metadata(quality.validated(paragraphs(spark, folder)).where("valid")).select("case_id", "filter")
+    return quality.with_metadata(quality.validated(table(spark, folder, "judgments_paragraphs")).where("valid")).select("case_id", "filter")
 
 
 @query(f"select case_id, para_id from {PARAS} where coalesce(usable_for_evidence, true)")
@@ -240,10 +240,10 @@ def usable_filter(spark, folder):
 
 @query(f"""select count(*) as cases, sum(n)::bigint as paragraphs, {_HALF4.format('sum(n)::double / count(*)')} as mean_paragraphs, max(n) as most, min(n) as least, count(*) filter (where failed > 0) as with_failures, count(*) filter (where failed * 10 > n * 3) as low_quality from {_CASES}""")
 def segmentation_stats(spark, folder):
-    return quality.segmentation_stats(quality.validated(paragraphs(spark, folder)))
+    return quality.segmentation_stats(quality.validated(table(spark, folder, "judgments_paragraphs")))
 
 
 @query(f"""with c as (select case_id, n from {_CASES}) select 'first' as sample, * from (select case_id, n from c order by case_id limit 50) union all
 select 'longest', * from (select case_id, n from c order by n desc, case_id limit 25) union all select 'shortest', * from (select case_id, n from c order by n, case_id limit 25)""")
 def segment_samples(spark, folder):
-    return quality.samples(quality.validated(paragraphs(spark, folder)).select("case_id", "n"))
+    return quality.samples(quality.validated(table(spark, folder, "judgments_paragraphs")).select("case_id", "n"))
