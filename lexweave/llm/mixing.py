@@ -168,7 +168,7 @@ class Mixture:
         edge = upto.where("upto > rest and before <= rest").groupBy("source", "lang").agg(F.min(F.struct("bucket", "before")).alias("e")).select("source", "lang", "e.*").toDF("source", "lang", "edge", "before")
         d = d.join(F.broadcast(edge), ["source", "lang"], "left")  # at most a row per leaf
         sure = d.where("edge is null or bucket <> edge").withColumn("more", (F.col("edge").isNull() & (F.col("rest") > 0) | (F.col("bucket") < F.col("edge"))).cast("int"))
-        w = Window.partitionBy("source", "lang").orderBy(F.col("order") + F.lit(0).cast("bigint"), "doc_id")
+        w = Window.partitionBy("source", "lang").orderBy("order", "doc_id")
         at_edge = d.where("bucket = edge").withColumn("more", (F.col("before") + F.sum("n_tokens").over(w) <= F.col("rest")).cast("int"))
         cols = ["doc_id", "source", "lang", "n_tokens", (F.col("epochs") + F.col("more")).cast("int").alias("uses")]
         self.chosen = sure.select(*cols).union(at_edge.select(*cols)).where("uses > 0")
