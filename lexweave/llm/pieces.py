@@ -1,8 +1,9 @@
 """Problem 4: items over a size limit cut into pieces at natural boundaries.
 
 The hierarchy of separators is section (blank line), line, sentence, clause, word, character:
-a unit that fits is kept whole, one that does not is split at the next level. Units are packed
-greedily up to the limit, and each piece repeats the end of the one before.
+a unit that fits beside the repeated part is kept whole, one that does not is split at the next
+level. Units are packed up to the limit, a piece ends at the highest level that leaves it half
+full, and each piece repeats the end of the one before.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1500, 200
+# levels of the hierarchy, the highest first; clauses, words and characters count as one
+SECTION, LINE, SENTENCE, WORD = range(4)
 
 # Abbreviations, in lower case, whose point ends no sentence.
 ABBREVIATIONS = set(
@@ -100,38 +103,79 @@ def _cut(text: str, a: int, b: int, limit: int) -> list[int]:
     return starts
 
 
+def boundaries(text: str) -> list[tuple[int, int]]:
+    """The starts of sentences, each with the highest level that starts there."""
+    out = []
+    for s in sentence_starts(text):
+        a = s
+        while a > 0 and text[a - 1].isspace():
+            a -= 1
+        lines = text.count("\n", a, s) if a else 2
+        out.append((s, SECTION if lines > 1 else LINE if lines else SENTENCE))
+    return out
+
+
+def split_units(marks: list[tuple[int, int]], text: str, room: int, lowest: int = WORD) -> list[tuple[int, int]]:
+    """(start, level) of the largest units that have at most room characters; marks are the text's boundaries.
+
+    A unit over the room is split at the next level, down to `lowest`; the parts that are left
+    over the room there stay as they are.
+    """
+    ends = [*(s for s, _ in marks[1:]), len(text)]
+    out = []
+
+    def split(a, b, level):
+        start, end = marks[a][0], ends[b - 1]
+        if level > lowest or len(text[start:end].rstrip()) <= room:
+            out.append(marks[a])
+        elif level == WORD:
+            out.append(marks[a])
+            out.extend((s, WORD) for s in _cut(text, start, end, room)[1:])
+        else:
+            at = [a, *(k for k in range(a + 1, b) if marks[k][1] <= level), b]
+            for x, y in zip(at, at[1:]):
+                split(x, y, level + 1)
+
+    if marks:
+        split(0, len(marks), SECTION)
+    return out
+
+
+def _end(units: list[tuple[int, int]], k: int, j: int, half: int) -> int:
+    """Which of the units k+1 to j the piece ends before, all of which fit; half is the middle of its room."""
+    natural = [e for e in range(k + 1, j + 1) if units[e][1] < WORD]
+    late = [e for e in natural if units[e][0] > half]
+    if late:
+        return min(late, key=lambda e: (units[e][1], -e))
+    return natural[-1] if natural else j
+
+
 def split_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, repeated) of the pieces; text[start:end] has at most limit characters.
 
-    A piece starts and ends where sentences do unless one alone is over the limit. It repeats
+    A piece starts and ends where sentences do unless one alone is over the limit. A section or
+    line of at most limit - overlap characters is in one piece as a whole. A piece repeats
     the last whole sentences of the piece before, as many as `overlap` holds; if the last one
     is longer, its last whole words; if no word fits, its last characters.
     """
     assert 0 <= overlap < limit
     if len(text) <= limit:
         return [(0, len(text), 0)]
-    sentences = sentence_starts(text)
-    units = []
-    for a, b in zip(sentences, [*sentences[1:], len(text)]):
-        units += [a] if len(text[a:b].rstrip()) <= limit - overlap else _cut(text, a, b, limit - overlap)
-    units.append(len(text))
-    natural = set(sentences)
+    marks = boundaries(text)
+    sentences = [s for s, _ in marks]
+    units = [*split_units(marks, text, limit - overlap), (len(text), SECTION)]
     out, k, start, repeated = [], 0, 0, 0
     while k < len(units) - 1:
         j = k + 1
-        while j < len(units) - 1 and len(text[start : units[j + 1]].rstrip()) <= limit:
+        while j < len(units) - 1 and len(text[start : units[j + 1][0]].rstrip()) <= limit:
             j += 1
-        # prefer to end where a sentence does, if one ends within the piece
-        e = j
-        while e > k + 1 and units[e] not in natural and units[e] != len(text):
-            e -= 1
-        if units[e] in natural or units[e] == len(text):
-            j = e
-        end = start + len(text[start : units[j]].rstrip())
+        if j < len(units) - 1:
+            j = _end(units, k, j, start + limit // 2)
+        end = start + len(text[start : units[j][0]].rstrip())
         out.append((start, end, repeated))
         if j >= len(units) - 1:
             break
-        k, nxt = j, units[j]
+        k, nxt = j, units[j][0]
         # the next piece's start: the earliest sentence within the overlap, else the earliest word, else a character
         low = max(nxt - overlap, start + 1)
         inside = [u for u in sentences if low <= u < nxt]
@@ -168,9 +212,11 @@ def _map(df: DataFrame, keys: list[str], text_col: str, limit: int, f, schema: s
 def long_sentences(df: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT) -> DataFrame:
     """(keys, sent_start): a row for each sentence of each text over the limit, whatever a stored length says.
 
+    The rows are the units of split_item with every section and line split into its sentences.
     Null and shorter texts give no row; rows sent again with the same keys and text count once.
     """
-    return _map(df, keys, text_col, limit, lambda t: [(s,) for s in sentence_starts(t)], "sent_start int")
+    cut = lambda t: [(s,) for s, _ in split_units(boundaries(t), t, 0, SENTENCE)]
+    return _map(df, keys, text_col, limit, cut, "sent_start int")
 
 
 def split_long(df: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

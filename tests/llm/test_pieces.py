@@ -38,6 +38,23 @@ def test_pieces_of_one_word_and_of_sentences():
         assert t[a:b].startswith("Sentence") and t[a:b].endswith("here.")
 
 
+def test_sections_and_lines_that_fit_are_kept_whole():
+    s = lambda name, n: " ".join(f"{name} number {k} ends here." for k in range(n))
+    for gap in ("\n\n", "\n"):
+        parts = [s("Alpha", 40), s("Beta", 30), s("Gamma", 45), s("Delta", 5), s("Omega", 150), s("Last", 44)]
+        t = gap.join(parts)
+        p = pieces.split_item(t)
+        for x in parts:
+            if len(x) <= pieces.LIMIT - pieces.OVERLAP:
+                assert any(x in t[a:b] for a, b, _ in p)
+        assert all(b - a <= pieces.LIMIT for a, b, _ in p)
+    # a section's end is preferred to a later line's, and that to a later sentence's
+    t = s("Alpha", 30) + "\n\n" + s("Beta", 5) + "\n" + s("Gamma", 60)
+    assert t[: pieces.split_item(t)[0][1]] == s("Alpha", 30)
+    assert [t[a : a + 5] for a, v in pieces.boundaries(t) if v == pieces.SECTION] == ["Alpha", "Beta "]
+    assert [a for a, _ in pieces.split_units(pieces.boundaries(t), t, 0, pieces.SENTENCE)] == pieces.sentence_starts(t)
+
+
 def test_rows(spark):
     long = "One is here. " * 200
     rows = [(1, 1, long, "a"), (1, 1, long, "b"), (1, 2, "short", "a"), (1, 3, None, "a"), (1, 4, "", "a")]
