@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one broadcast matrix holds; more are searched in blocks of this size.
 BLOCK = 4096
+#: Queries of a block that are compared with an Arrow batch at once.
+SLICE = 512
 
 
 def doubles(v: Column) -> Column:
@@ -51,7 +53,8 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest (squared distance, ties by id) to each query.
 
     Queries go to the tasks in blocks of at most BLOCK, so vectors are not shuffled; each task
-    keeps k candidates a query, and only these are ranked over all. queries: query_id, embedding.
+    keeps k candidates a query, and only these are ranked over all. A batch's candidates are all
+    vectors that rounding leaves in reach of its k-th distance. queries: query_id, embedding.
     """
     spark = vectors.sparkSession
     n = queries.count()
@@ -72,15 +75,26 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     continue
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 own = pdf["vec_id"].to_numpy(np.int64)
-                # candidates by the fast form, then their distances term by term in index order
-                rough = (v * v).sum(1)[None, :] - 2 * m @ v.T
-                take = min(len(own), k + 8)
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                exact = np.zeros(near.shape)
-                for j in range(v.shape[1]):
-                    d = v[near, j] - m[:, j][:, None]
-                    exact += d * d
-                found = pd.DataFrame({"query_id": np.repeat(ids, take), "vec_id": own[near].ravel(), "score": exact.ravel()})
+                # of equal vectors only the k lowest ids can be among the nearest
+                rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel()
+                low = pd.Series(own).groupby(np.unique(rows, return_inverse=True)[1]).rank(method="first").to_numpy() <= k
+                v, own = v[low], own[low]
+                squares, take = (v * v).sum(1), min(len(own), k)
+                parts = []
+                for a in range(0, len(ids), SLICE):
+                    mine = m[a : a + SLICE]
+                    # candidates by the fast form, then their distances term by term in index order
+                    rough = squares[None, :] - 2 * mine @ v.T
+                    # twice the rounding errors of both forms, for the two vectors compared
+                    reach = 8 * (v.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(np.fmax.reduce(squares)) + np.sqrt((mine * mine).sum(1))) ** 2
+                    bound = np.partition(rough, take - 1, axis=1)[:, take - 1] + reach
+                    of, near = np.nonzero(~(rough > bound[:, None]))
+                    exact = np.zeros(len(of))
+                    for j in range(v.shape[1]):
+                        d = v[near, j] - mine[of, j]
+                        exact += d * d
+                    parts.append(pd.DataFrame({"query_id": ids[a + of], "vec_id": own[near], "score": exact}))
+                found = pd.concat(parts)
                 best = found if best is None else pd.concat([best, found])
                 best = best.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
             if best is not None:

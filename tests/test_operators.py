@@ -107,6 +107,30 @@ def test_nearest_each_against_brute_force(spark):
         assert list(dict(sorted(got[q].items())).values()) == sorted(range(60), key=lambda i: (d[i], i))[:5]
 
 
+def test_nearest_each_with_many_equal_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(200, 8))
+    same = rng.permutation(200)[:50]
+    v[same] = v[same[0]]
+    near = rng.permutation(np.setdiff1d(np.arange(200), same))[:40]
+    v[near] = v[near[0]] + 1e-9 * rng.integers(0, 3, size=(40, 8))
+    rows = [(int(i), [float(x) for x in v[i]]) for i in rng.permutation(200)]
+    queries = [int(same[0]), int(near[0]), *range(3)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(parts)
+        got = {}
+        for r in vectors.nearest_each(df, df.where(F.col("vec_id").isin(queries)).select(F.col("vec_id").alias("query_id"), "embedding"), 5).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+        for q in queries:
+            d = np.zeros(200)
+            for j in range(8):  # term by term; sum() corrects its rounding
+                d += (v[:, j] - v[q, j]) ** 2
+            assert [got[q][k] for k in range(1, 6)] == sorted((d[i], i) for i in range(200))[:5]
+        assert [got[int(same[0])][k][1] for k in range(1, 6)] == sorted(map(int, same))[:5]
+
+
 def test_index_and_jsonl(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     tables.save_index(df, str(tmp_path / "ix"))
