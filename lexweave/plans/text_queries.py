@@ -85,6 +85,12 @@ def nfkc(spark, folder):
     return table(spark, folder, "documents").where("lang = 'en'").select("doc_id", T.nfkc(F.col("text")).alias("text"))
 
 
+@query()
+def nfkc_all(spark, folder):
+    """All documents in any language; no SQL, as the SQL engine has NFC only."""
+    return table(spark, folder, "documents").select("doc_id", T.nfkc(F.col("text")).alias("text"))
+
+
 _FOOT = "text"
 for _p in T.FOOTERS:
     _FOOT = f"regexp_replace({_FOOT}, '(?im){_p}', '', 'g')"

@@ -40,6 +40,18 @@ def test_nfkc_and_html(spark):
     assert one(spark, T.html_to_text, "<p> a &amp; b<script>x</script></p><b>c") == "a & b\nc" and one(spark, T.html_to_text, None) is None
 
 
+def test_nfkc_all_has_every_document(spark, tmp_path):
+    import unicodedata
+
+    from lexweave.plans import registry
+
+    rows = [(1, "ﬁne ２", "en"), (2, "क़ानून ①", "hi"), (3, "½ page", None), (4, "№ 5 e\u0301", "EN"), (5, None, "en"), (6, "", ""), (7, "plain", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["nfkc_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, t and unicodedata.normalize("NFKC", t)) for i, t, _ in rows]
+    assert "nfkc_all" not in registry.ORACLES
+
+
 def test_json_part_and_words(spark):
     assert one(spark, T.json_part, 'x {"a": {}} y') == '{"a": {}}' and one(spark, T.json_part, "none") == "none"
     assert one(spark, T.limit_words, None) is None and one(spark, lambda c: T.limit_words(c, 2), " a  b c ") == "a b..."
