@@ -6,7 +6,7 @@ looked up; each hit lies on the diagonal given by the two word positions. A leak
 `words` words without an edit leaves at least `needs` hits on its diagonal (the q-gram lemma
 with an edit budget of 0 for the smallest passage that counts), so bands with fewer are
 dropped, and then items with fewer hits than the share asked for demands. What remains is
-verified along its diagonals: a hit counts if the run of words it starts is equal.
+verified on all its runs of words, since one shorter than a q-gram need not be a hit.
 """
 
 from __future__ import annotations
@@ -65,25 +65,23 @@ class Index:
         # the longer q-grams are taken if runs shorter than one could not make up an item's share
         self.q = 16 if texts and all(s < n for s, n in zip(short[16], self.need)) else 8
         self.least = np.maximum(1, self.need - np.array(short[self.q], np.int64)) if texts else self.need
-        grams, item, word, run, fits = [], [], [], [], []
+        self.own = [np.unique(runs) for _, _, _, runs, _ in texts]
+        grams, item, word, fits = [], [], [], []
         for k, (_, data, starts, runs, lens) in enumerate(texts):
             n, m = len(runs), len(starts)
             grams.append(_qgrams(data, starts, self.q))
             item.append(np.full(m, k))
             word.append(np.arange(m))
-            # the last words start no run; their mark equals no document's
-            run.append(np.r_[runs, np.ones(m - n, np.uint64)])
             # how many q-grams starting in a run of words end in it
             inside = np.array([sum(starts[p] + self.q <= starts[r] + lens[r] for p in range(r, r + words)) for r in range(n)])
             fits.append(int(inside[inside > 0].min(initial=words)))
         self.needs = np.array(fits, np.int64)
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        g, self.item, self.word, self.run = cat(grams, np.uint64), cat(item, np.int64), cat(word, np.int64), cat(run, np.uint64)
+        g, self.item, self.word = cat(grams, np.uint64), cat(item, np.int64), cat(word, np.int64)
         order = np.argsort(g, kind="stable")
-        g, self.item, self.word, self.run = g[order], self.item[order], self.word[order], self.run[order]
+        g, self.item, self.word = g[order], self.item[order], self.word[order]
         self.grams, self.first = np.unique(g, return_index=True)
         self.count = np.diff(np.r_[self.first, len(g)])
-        self.runs, self.runs_hash = len(g), np.sort(np.unique(self.run))
         self.bits = 22
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[(self.grams >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -147,22 +145,15 @@ class Index:
         _, inv1, c1 = np.unique(np.r_[key * span + band - low, key * span + band - low + 1], return_inverse=True, return_counts=True)
         most = np.maximum(c1[inv1[: len(key)]], c1[inv1[len(key) :]])
         ok = most >= self.needs[item]
-        pos, text, item, place, key = pos[ok], text[ok], item[ok], place[ok], key[ok]
-        # along its diagonal, a hit is verified if the words from it on are equal
-        mine = np.unique(text)
-        first = {t: int(np.searchsorted(owner, t)) for t in mine}
-        runs = np.zeros(len(pos), np.uint64)
+        # the item's runs among all of the text's, also those that are no hit
+        u = np.unique(key[ok])
         row = {t: r for r, t in enumerate(np.unique(owner))}
-        for t in mine:
-            w = hashes[row[t]]
-            h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-            g = np.r_[ngram_hashes(h, self.words), np.zeros(self.words - 1, np.uint64)]
-            sel = text == t if len(mine) == 1 else slice(*np.searchsorted(text, [t, t + 1]))
-            runs[sel] = g[pos[sel] - first[t]]
-        ok = runs == self.run[place]
-        key, place = key[ok], place[ok]
-        held = np.unique(np.stack([key.astype(np.uint64), self.run[place]]), axis=1)[0].astype(np.int64)
-        u, c = np.unique(held, return_counts=True)
+        c, last, runs = np.zeros(len(u), np.int64), None, None
+        for r, (t, i) in enumerate(zip(u // items, u % items)):
+            if t != last:
+                w = hashes[row[t]]
+                last, runs = t, ngram_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), self.words)
+            c[r] = np.isin(self.own[i], runs).sum()
         ok = c >= self.need[u % items]
         return u[ok] // items, u[ok] % items, c[ok]
 

@@ -42,6 +42,18 @@ def test_against_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == brute(docs, items, 0.3)
 
 
+def test_runs_shorter_than_a_qgram_count_before_an_edit():
+    # 12 words, 8 runs, of which 3 are needed; 'no 1 2 a b' has 10 bytes, and other words follow it
+    words = "witness statement said no 1 2 a b afterwards nothing further happened".split()
+    item = (7, " ".join(words))
+    ix = leakage.Index([item])
+    assert ix.q == 16 and list(ix.need) == [3]
+    docs = ["", "other words statement said no 1 2 a bc", " ".join(["zz", *words[1:8], "changed", "end"]), " ".join([*words[4:8], "x", *words[1:8]]), " ".join(words[2:8]), item[1]]
+    t, i, held = ix.search(docs, leakage.WordHashes())
+    want = {d: len(grams(x) & grams(item[1])) for d, x in enumerate(docs)}
+    assert dict(zip(t.tolist(), held.tolist())) == {d: n for d, n in want.items() if n >= 3} and want[2] == 3 and (i == 0).all()
+
+
 def test_parts_and_nothing(spark, monkeypatch):
     docs, items = data(5, "abcdefgh")
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
