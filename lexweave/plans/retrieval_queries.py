@@ -76,6 +76,26 @@ def similarity_band(spark, folder):
     return n.select("vec_id", "pct", retrieval.band(F.col("pct")).alias("band"), F.least("pct", F.lit(100.0)).alias("bar"))
 
 
+# every 20th vector as a search; the two queries above keep to the searches of their SQL
+_NEAR_20 = _NEAR.replace("% 50 = 0", "% 20 = 0")
+
+
+def _searches(spark, folder):
+    q = _vectors(spark, folder).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest_each(_vectors(spark, folder), q, 5)
+
+
+@query(f"select query_id, vec_id, rank, {_R('score', 6)} as score, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as similarity_pct from {_NEAR_20}")
+def knn_searches(spark, folder):
+    return _searches(spark, folder).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), T.half_up(F.col("score"), 6).alias("score"), retrieval.similarity_pct(F.col("score")).alias("similarity_pct"))
+
+
+@query(f"select query_id, vec_id, pct, case when pct >= 70 then 'green' when pct >= 50 then 'amber' else 'red' end as band, least(pct, 100.0::double) as bar from (select query_id, vec_id, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as pct from {_NEAR_20})")
+def search_bands(spark, folder):
+    n = _searches(spark, folder).select("query_id", "vec_id", retrieval.similarity_pct(F.col("score")).alias("pct"))
+    return n.select("query_id", "vec_id", "pct", retrieval.band(F.col("pct")).alias("band"), F.least("pct", F.lit(100.0)).alias("bar"))
+
+
 @query("select max(len(embedding))::int as dimension, min(len(embedding))::int as least, count(*) as total_vectors from embeddings")
 def embedding_dim_check(spark, folder):
     return vectors.check_dimension(_vectors(spark, folder))

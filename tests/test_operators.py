@@ -143,6 +143,16 @@ def test_nearest_each_with_many_equal_vectors(spark):
         assert [got[int(same[0])][k][1] for k in range(1, 6)] == sorted(map(int, same))[:5]
 
 
+def test_every_20th_vector_is_searched(spark, tmp_path):
+    from lexweave.plans import registry
+
+    rows = [(i, [float(i), float(i % 7)], 0) for i in range(101)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("knn_searches", "search_bands"):
+        got = [r["query_id"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == [q for q in range(0, 101, 20) for _ in range(5)]
+
+
 def test_index_and_jsonl(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     tables.save_index(df, str(tmp_path / "ix"))
