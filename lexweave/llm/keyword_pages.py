@@ -24,8 +24,9 @@ from lexweave.session import durable
 BINS = 25
 CHUNK = 20
 LEAST_WORDS = 12
-#: Share of a page that counts as most of it, with room for the measure's error on short pages of sentences.
-MOST = 0.58
+#: Share of a page that counts as most of it, and room for the measure's error, whole on pages of up to ROOM_CHUNKS chunks
+#: (two or three sentences) and smaller in proportion on longer ones.
+MOST, ROOM, ROOM_CHUNKS = 0.5, 0.08, 5
 
 # Function words of the two languages of the corpus, without those usual in
 # keywords ("in", "will", "only", "no").
@@ -165,4 +166,5 @@ def keyword_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     high = F.lit(False)
     for s in shares:
         high = high | (F.col(s) > F.coalesce(F.col(f"usual_{s}"), F.lit(0.0)))
-    return j.where((F.col("spam_share") > MOST) & high).select("id", "script", "spam_share", *shares).distinct()
+    least = F.lit(MOST) + F.lit(ROOM) * F.least(F.lit(1.0), F.lit(float(ROOM_CHUNKS * CHUNK)) / F.col("words"))
+    return j.where((F.col("spam_share") > least) & high).select("id", "script", "spam_share", *shares).distinct()

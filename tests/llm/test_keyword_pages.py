@@ -28,6 +28,14 @@ def test_pages(spark):
     assert sorted(got) == [i for i, _ in spam]
 
 
+def test_half_is_most_of_a_long_page(spark):
+    rows, _, _ = pages()
+    half = lambda n: PROSE * n + "\n" + "moot memo Halrepur | fast judgment pdf | " * (4 * n)
+    df = spark.createDataFrame(rows + [(401, half(20)), (402, half(2))], "id bigint, text string")
+    got = {r["id"]: r["spam_share"] for r in kp.keyword_pages(df, "id", "text").collect()}
+    assert list(got) == [401] and 0.5 < got[401] < 0.58
+
+
 def test_nothing(spark):
     assert kp.keyword_pages(spark.createDataFrame([], "id bigint, text string"), "id", "text").count() == 0
     assert kp.measure("") is None and kp.measure("a\n\nb") is None
