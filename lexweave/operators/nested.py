@@ -7,11 +7,14 @@ the keys are taken by parent index, and no row is looked at on its own.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import durable
+
 
 def as_array(text: Column) -> Column:
     """JSON text, or a bare value, as an array of texts: an array's elements, else an array of one; null stays null."""
@@ -19,41 +22,66 @@ def as_array(text: Column) -> Column:
     return F.when(t.startswith("["), F.from_json(t, "array<string>")).when(text.isNotNull(), F.array(text))
 
 
-def read_cases(raw: DataFrame, record: str = "record", order: tuple[str, ...] = ("ingested_at", "line_no"), texts: bool = True) -> DataFrame:
-    """(case_id, paragraphs) of each case's latest delivery that parses.
+#: Deliveries named in a broadcast; above, the same join is shuffled.
+BROADCAST_KEYS = 500_000
 
-    paragraphs: array<struct<here, roles: array<>, sentences: array<struct<here, cites: array<>>>>>;
-    `here` tells an element from a null one, which keeps its position. With texts=False only
-    presence is kept: what is shuffled is then a few bits an element. Lines that do not parse,
-    blank or null ones, and cases without a numeric case_id give nothing. Of equally late
-    deliveries that with the highest line_no counts. A case may stand in an envelope under `case`.
-    """
+
+def _lines(raw: DataFrame, record: str, order: tuple[str, ...]) -> DataFrame:
+    """The order columns, whether the line is blank or parses, case_id (null if there is none) and the paragraphs' JSON."""
     top = "case_id string, paragraphs string, `case` string, _bad string"
     options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
-    r = raw.select(*order, F.from_json(F.col(record), top, options).alias("r")).where("r is not null and r._bad is null")
+    r = raw.select(*order, F.col(record).alias("line"), F.from_json(F.col(record), top, options).alias("r"))
     inner = F.from_json(F.col("r.case"), "case_id string, paragraphs string")
     r = r.withColumn("i", F.when(F.col("r.case").isNotNull(), inner))
-    r = r.select(*order, F.expr("try_cast(trim(coalesce(r.case_id, i.case_id)) as bigint)").alias("case_id"), F.coalesce("r.paragraphs", "i.paragraphs").alias("p"))
-    keep = (lambda x: x) if texts else (lambda x: x.isNotNull())
+    return r.select(
+        *order,
+        (F.col("line").isNull() | ~F.col("line").rlike(r"\S")).alias("blank"),
+        (F.col("r").isNotNull() & F.col("r._bad").isNull()).alias("parses"),
+        F.expr("try_cast(trim(coalesce(r.case_id, i.case_id)) as bigint)").alias("case_id"),
+        F.coalesce("r.paragraphs", "i.paragraphs").alias("p"),
+    )
+
+
+def rejects(raw: DataFrame, record: str = "record", order: tuple[str, ...] = ("ingested_at", "line_no")) -> DataFrame:
+    """The order columns and `reason` of the lines that give no case: blank (also null), unparsed, no_case_id (none that is a number)."""
+    r = _lines(raw, record, order)
+    reason = F.when(F.col("blank"), "blank").when(~F.col("parses"), "unparsed").when(F.col("case_id").isNull(), "no_case_id")
+    return r.select(*order, reason.alias("reason")).where("reason is not null")
+
+
+def read_cases(raw: DataFrame, record: str = "record", order: tuple[str, ...] = ("ingested_at", "line_no")) -> DataFrame:
+    """(case_id, paragraphs) of each case's latest delivery that parses.
+
+    paragraphs: array<struct<here, fields, roles: array<>, sentences: array<struct<here, fields, cites: array<struct<here, value, fields>>>>>>;
+    `here` tells an element from a null one, which keeps its position; a cite's `value` is the element
+    if it is no object. Lines that give no case are those of `rejects`. Of equally late deliveries that
+    with the highest line_no counts. A case may stand in an envelope under `case`.
+
+    The latest deliveries are found on their keys alone; texts are not shuffled as long as the
+    keys were counted to be few enough for a broadcast.
+    """
+    r = _lines(raw, record, order).where("parses and case_id is not null")
+    last = r.groupBy("case_id").agg(F.max(F.struct(*order)).alias("last")).select("case_id", *[F.col(f"last.{c}").alias(f"last_{c}") for c in order])
+    last = durable(last)
+    small = last.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = [r["case_id"] == F.col("last_case")] + [r[c].eqNullSafe(F.col(f"last_{c}")) for c in order]
+    last = last.withColumnRenamed("case_id", "last_case")
+    r = r.join(F.broadcast(last) if small else last, same, "left_semi")
 
     def cite(c):
-        if not texts:
-            return c.isNotNull()
-        return F.from_json(c, "law string, section string, span struct<raw: string, score: double>")
+        v = F.from_json(c, "law string, section string, span struct<raw: string, score: double>")
+        return F.struct(c.isNotNull().alias("here"), F.when(~F.trim(c).startswith("{"), c).alias("value"), v["law"].alias("law"), v["section"].alias("section"), v["span"]["raw"].alias("raw"), v["span"]["score"].alias("score"))
 
     def sentence(s):
         v = F.from_json(s, "start int, end int, cites string")
-        own = [v["start"].alias("start"), v["end"].alias("end")] if texts else []
-        return F.struct(s.isNotNull().alias("here"), *own, F.transform(as_array(v["cites"]), cite).alias("cites"))
+        return F.struct(s.isNotNull().alias("here"), v["start"].alias("start"), v["end"].alias("end"), F.transform(as_array(v["cites"]), cite).alias("cites"))
 
     def paragraph(p):
-        fields = "para_id string, text string, position string, role_source string, role_confidence string," if texts else ""
-        v = F.from_json(p, f"{fields} paragraph_roles string, sentences string")
-        own = [v[c].alias(c) for c in ("para_id", "text", "position", "role_source", "role_confidence")] if texts else []
-        return F.struct(p.isNotNull().alias("here"), *own, F.transform(as_array(v["paragraph_roles"]), keep).alias("roles"), F.transform(as_array(v["sentences"]), sentence).alias("sentences"))
+        v = F.from_json(p, "para_id string, text string, position string, role_source string, role_confidence string, paragraph_roles string, sentences string")
+        own = [v[c].alias(c) for c in ("para_id", "text", "position", "role_source", "role_confidence")]
+        return F.struct(p.isNotNull().alias("here"), *own, as_array(v["paragraph_roles"]).alias("roles"), F.transform(as_array(v["sentences"]), sentence).alias("sentences"))
 
-    cases = r.where("case_id is not null").select("case_id", *order, F.transform(as_array(F.col("p")), paragraph).alias("paragraphs"))
-    return cases.groupBy("case_id").agg(F.max_by("paragraphs", F.struct(*order)).alias("paragraphs"))
+    return r.select("case_id", F.transform(as_array(F.col("p")), paragraph).alias("paragraphs"))
 
 
 # ---------------------------------------------------------------- kernels
@@ -68,7 +96,7 @@ def unnest(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     lengths = pc.fill_null(pc.list_value_length(lists), 0)
     ends = pc.cumulative_sum(pc.cast(lengths, pa.int64()))
     first = pc.subtract(ends, pc.cast(lengths, pa.int64()))
-    number = pc.subtract(pa.array(range(len(values)), pa.int64()), first.take(parent))
+    number = pc.subtract(pa.array(np.arange(len(values))), first.take(parent))
     return values, parent, pc.cast(pc.add(number, 1), pa.int32())
 
 
@@ -77,19 +105,41 @@ def field(structs: pa.Array, name: str) -> pa.Array:
     return pc.struct_field(structs, name)
 
 
-def _rows(level: str, case_id: pa.Array, numbers: list, name: pa.Array | None = None) -> pa.RecordBatch:
-    n = len(case_id)
-    zero = pa.array([0], pa.int32()).take(pa.array([0] * n, pa.int32())) if n else pa.array([], pa.int32())
-    numbers = [*numbers, *[zero] * (3 - len(numbers))]
-    text = lambda v: pa.DictionaryArray.from_arrays(pa.array([0] * n, pa.int32()), [v]).cast(pa.string())
-    return pa.RecordBatch.from_arrays([text(level), case_id, *numbers, text("") if name is None else name], names=["level", "case_id", "para_no", "item_no", "sub_no", "name"])
+KEYS = {"level": pa.string(), "case_id": pa.int64(), "para_no": pa.int32(), "item_no": pa.int32(), "sub_no": pa.int32(), "name": pa.string()}
+FIELDS = {
+    "para_id": pa.string(), "text": pa.string(), "position": pa.string(), "role_source": pa.string(), "role_confidence": pa.string(), "role": pa.string(), "start": pa.int32(), "end": pa.int32(),
+    "law": pa.string(), "section": pa.string(), "raw": pa.string(), "score": pa.float64(), "value": pa.string(),
+}
+_SQL = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
+
+
+def _schema(columns) -> str:
+    return ", ".join(f"`{c}` {_SQL[{**KEYS, **FIELDS}[c]]}" for c in columns)
+
+
+def _table(level: str, keys: dict, fields: dict | None = None, columns=(*KEYS, *FIELDS)) -> pa.RecordBatch:
+    """A batch of rows of one level; numbers that are not given are 0, names '', fields null."""
+    n = len(keys["case_id"])
+    fields = fields or {}
 
+    def column(c):
+        if c in keys:
+            return keys[c].cast(KEYS[c])
+        if c in fields:
+            return fields[c]
+        if c in KEYS:
+            return pa.repeat(pa.scalar(level if c == "level" else "" if c == "name" else 0, KEYS[c]), n)
+        return pa.nulls(n, FIELDS[c])
 
-ROWS = "level string, case_id long, para_no int, item_no int, sub_no int, name string"
+    return pa.RecordBatch.from_arrays([column(c) for c in columns], names=list(columns))
 
 
 def case_rows(cases: DataFrame) -> DataFrame:
-    """The positions of all paragraphs, roles, sentences and cites that are not null, with their parents' keys."""
+    """All paragraphs, roles, sentences and cites that are not null: level, their parents' keys and numbers, and their fields.
+
+    A flat table is the rows of its level with the level's fields; the other fields are null.
+    """
+    columns = (*KEYS, *FIELDS)
 
     def run(batches):
         for b in batches:
@@ -97,51 +147,60 @@ def case_rows(cases: DataFrame) -> DataFrame:
             para, up, para_no = unnest(b.column("paragraphs"))
             case = case.take(up)
             here = pc.fill_null(field(para, "here"), False)
-            yield _rows("paragraph", case.filter(here), [para_no.filter(here)])
+            own = {f: field(para, f).filter(here) for f in ("para_id", "text", "position", "role_source", "role_confidence")}
+            yield _table("paragraph", {"case_id": case.filter(here), "para_no": para_no.filter(here)}, own, columns)
             role, up, role_no = unnest(field(para, "roles"))
-            here = pc.fill_null(role, False)
+            here = pc.is_valid(role)
             up = up.filter(here)
-            yield _rows("role", case.take(up), [para_no.take(up), role_no.filter(here)])
+            yield _table("role", {"case_id": case.take(up), "para_no": para_no.take(up), "item_no": role_no.filter(here)}, {"role": role.filter(here)}, columns)
             sent, up, sent_no = unnest(field(para, "sentences"))
             s_case, s_para = case.take(up), para_no.take(up)
             here = pc.fill_null(field(sent, "here"), False)
-            yield _rows("sentence", s_case.filter(here), [s_para.filter(here), sent_no.filter(here)])
+            own = {f: field(sent, f).filter(here) for f in ("start", "end")}
+            yield _table("sentence", {"case_id": s_case.filter(here), "para_no": s_para.filter(here), "item_no": sent_no.filter(here)}, own, columns)
             cite, up, cite_no = unnest(field(sent, "cites"))
-            here = pc.fill_null(cite, False)
+            here = pc.fill_null(field(cite, "here"), False)
             up = up.filter(here)
-            yield _rows("cite", s_case.take(up), [s_para.take(up), sent_no.take(up), cite_no.filter(here)])
+            own = {f: field(cite, f).filter(here) for f in ("law", "section", "raw", "score", "value")}
+            yield _table("cite", {"case_id": s_case.take(up), "para_no": s_para.take(up), "item_no": sent_no.take(up), "sub_no": cite_no.filter(here)}, own, columns)
 
-    return cases.select("case_id", "paragraphs").mapInArrow(run, ROWS)
+    return cases.select("case_id", "paragraphs").mapInArrow(run, _schema(columns))
 
 
 SECTIONS = ["facts", "issues", "arguments", "reasoning", "decision"]
 
 
 def latest_summaries(df: DataFrame) -> DataFrame:
-    """(case_id, flags, statutes): of each case's latest delivery, which sections are written and which statutes are not null."""
-    flags = F.array(*[F.coalesce(F.col(f"structured_summary.{s}").rlike(r"\S"), F.lit(False)) for s in SECTIONS])
-    statutes = F.transform("structured_summary.statutes", lambda s: s.isNotNull())
-    x = df.where("case_id is not null").select("case_id", F.struct("ingested_at", flags.alias("flags"), statutes.alias("statutes")).alias("x"))
-    return x.groupBy("case_id").agg(F.max("x").alias("x")).select("case_id", "x.flags", "x.statutes")
+    """(case_id, structured_summary) of each case's latest delivery; of equally late ones, which have the same content, one.
+
+    As for read_cases the latest is found on the keys, and the texts are not shuffled while the keys are few.
+    """
+    d = df.where("case_id is not null")
+    last = durable(d.groupBy("case_id").agg(F.max("ingested_at").alias("last"), F.count("*").alias("n")))
+    small = last.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    d = d.select("case_id", "ingested_at", "structured_summary").join(F.broadcast(last) if small else last, "case_id").where(F.col("ingested_at").eqNullSafe(F.col("last")))
+    # only a case that came more than once can have several rows that are equally late
+    once = d.where("n = 1").select("case_id", "structured_summary")
+    return once.union(d.where("n > 1").select("case_id", "structured_summary").dropDuplicates(["case_id"]))
 
 
 def summary_rows(summaries: DataFrame) -> DataFrame:
-    """The sections and the statutes' positions of latest_summaries, with their case's key."""
+    """The written sections (name, text) and the statutes that are not null (item_no, value) of latest_summaries, with their case's key."""
+    columns = (*KEYS, "text", "value")
 
     def run(batches):
-        names = pa.array(SECTIONS)
         for b in batches:
-            case = b.column("case_id")
-            flag, up, no = unnest(b.column("flags"))
-            up, no = up.filter(flag), no.filter(flag)
-            yield _rows("section", case.take(up), [], names.take(pc.subtract(no, 1)))
-            here, up, no = unnest(b.column("statutes"))
-            here = pc.fill_null(here, False)
-            up, no = up.filter(here), no.filter(here)
-            zero = pc.multiply(no, 0)
-            yield _rows("summary_statute", case.take(up), [pc.cast(zero, pa.int32()), no])
-
-    return summaries.mapInArrow(run, ROWS)
+            case, s = b.column("case_id"), b.column("structured_summary")
+            for name in SECTIONS:
+                text = field(s, name)
+                here = pc.fill_null(pc.match_substring_regex(text, r"\S"), False)
+                own = case.filter(here)
+                yield _table("section", {"case_id": own, "name": pa.repeat(pa.scalar(name), len(own))}, {"text": text.filter(here)}, columns)
+            value, up, no = unnest(field(s, "statutes"))
+            here = pc.is_valid(value)
+            yield _table("summary_statute", {"case_id": case.take(up.filter(here)), "item_no": no.filter(here)}, {"value": value.filter(here)}, columns)
+
+    return summaries.select("case_id", "structured_summary").mapInArrow(run, _schema(columns))
 
 
 def flatten(df: DataFrame, keys: list[str], lists: str, number: str) -> DataFrame:

@@ -22,53 +22,60 @@ def _summaries(spark, folder):
     return spark.read.parquet(f"{folder}/summarization_dataset.parquet")
 
 
-@query
-def p5_found(spark, folder):
-    cases = nested.case_rows(nested.read_cases(_raw(spark, folder), texts=False))
-    return cases.unionByName(nested.summary_rows(nested.latest_summaries(_summaries(spark, folder))))
+_KEYS = list(nested.KEYS)
+
+
+def _cases(spark, folder, level: str | None = None):
+    rows = nested.case_rows(nested.read_cases(_raw(spark, folder)))
+    return rows.where(F.col("level") == level) if level else rows
 
 
-def _paragraphs(spark, folder):
-    return nested.flatten(nested.read_cases(_raw(spark, folder)), ["case_id"], "paragraphs", "para_no").where("here")
+def _of_summaries(spark, folder, level: str | None = None):
+    rows = nested.summary_rows(nested.latest_summaries(_summaries(spark, folder)))
+    return rows.where(F.col("level") == level) if level else rows
 
 
 @query
-def p5_paragraphs(spark, folder):
-    return _paragraphs(spark, folder).select("case_id", "para_no", "para_id", "text", "position", "role_source", F.expr("try_cast(role_confidence as double)").alias("role_confidence"))
+def p5_found(spark, folder):
+    return _cases(spark, folder).select(*_KEYS).unionByName(_of_summaries(spark, folder).select(*_KEYS))
 
 
 @query
-def p5_roles(spark, folder):
-    return nested.flatten(_paragraphs(spark, folder), ["case_id", "para_no"], "roles", "role_no").where("value is not null").withColumnRenamed("value", "role")
+def p5_paragraphs(spark, folder):
+    return _cases(spark, folder, "paragraph").select("case_id", "para_no", "para_id", "text", "position", "role_source", F.expr("try_cast(role_confidence as double)").alias("role_confidence"))
 
 
-def _sentences(spark, folder):
-    return nested.flatten(_paragraphs(spark, folder), ["case_id", "para_no"], "sentences", "sentence_no").where("here")
+@query
+def p5_roles(spark, folder):
+    return _cases(spark, folder, "role").select("case_id", "para_no", F.col("item_no").alias("role_no"), "role")
 
 
 @query
 def p5_sentences(spark, folder):
-    return _sentences(spark, folder).select("case_id", "para_no", "sentence_no", "start", "end")
+    return _cases(spark, folder, "sentence").select("case_id", "para_no", F.col("item_no").alias("sentence_no"), "start", "end")
 
 
 @query
 def p5_cites(spark, folder):
-    c = nested.flatten(_sentences(spark, folder), ["case_id", "para_no", "sentence_no"], "cites", "cite_no")
-    return c.where("law is not null or section is not null or span is not null").select("case_id", "para_no", "sentence_no", "cite_no", "law", "section", F.col("span.raw").alias("raw"), F.col("span.score").alias("score"))
+    """Every cite; `value` is one that is no object, as it was written."""
+    return _cases(spark, folder, "cite").select("case_id", "para_no", F.col("item_no").alias("sentence_no"), F.col("sub_no").alias("cite_no"), "law", "section", "raw", "score", "value")
+
+
+@query
+def p5_rejects(spark, folder):
+    """The lines that give no case, and why."""
+    return nested.rejects(_raw(spark, folder)).select("line_no", "reason")
 
 
 @query
 def p5_sections(spark, folder):
     """Long form of structured_summary: a row per written section."""
-    s = _summaries(spark, folder).where("case_id is not null").groupBy("case_id").agg(F.max_by("structured_summary", "ingested_at").alias("s"))
-    pairs = F.array(*[F.struct(F.lit(n).alias("section"), F.col(f"s.{n}").alias("text")) for n in nested.SECTIONS])
-    return nested.flatten(s.select("case_id", pairs.alias("x")), ["case_id"], "x", "section_no").where(F.col("text").rlike(r"\S")).select("case_id", "section", "text")
+    return _of_summaries(spark, folder, "section").select("case_id", F.col("name").alias("section"), "text")
 
 
 @query
 def p5_summary_statutes(spark, folder):
-    s = _summaries(spark, folder).where("case_id is not null").groupBy("case_id").agg(F.max_by("structured_summary.statutes", "ingested_at").alias("statutes"))
-    return nested.flatten(s, ["case_id"], "statutes", "statute_no").where("value is not null").withColumnRenamed("value", "statute")
+    return _of_summaries(spark, folder, "summary_statute").select("case_id", F.col("item_no").alias("statute_no"), F.col("value").alias("statute"))
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -103,7 +110,10 @@ union all select 'section', case_id, 0, 0, 0, section from ({_SECT}) union all s
     "p5_roles": f"select case_id, para_no, role_no, e ->> '$' as role from {_R} {_HERE}",
     "p5_sentences": f"select case_id, para_no, sentence_no, (e ->> '$.start')::int as start, (e ->> '$.end')::int as end from {_S} {_HERE}",
     "p5_paragraphs": f"select case_id, para_no, e ->> '$.para_id' as para_id, e ->> '$.text' as text, e ->> '$.position' as position, e ->> '$.role_source' as role_source, try_cast(e ->> '$.role_confidence' as double) as role_confidence from {_P} {_HERE}",
-    "p5_cites": f"select case_id, para_no, sentence_no, cite_no, e ->> '$.law' as law, e ->> '$.section' as section, e ->> '$.span.raw' as raw, (e ->> '$.span.score')::double as score from {_C} {_HERE}",
+    "p5_cites": f"select case_id, para_no, sentence_no, cite_no, e ->> '$.law' as law, e ->> '$.section' as section, e ->> '$.span.raw' as raw, (e ->> '$.span.score')::double as score, case when json_type(e) <> 'OBJECT' then e ->> '$' end as value from {_C} {_HERE}",
+    "p5_rejects": """select line_no, case when record is null or not regexp_matches(record, '\\S') then 'blank' when j is null or json_type(j) <> 'OBJECT' then 'unparsed' else 'no_case_id' end as reason
+from (select line_no, record, case when json_valid(record) then record::json end as j from role_labelled_raw)
+where j is null or json_type(j) <> 'OBJECT' or try_cast(trim(coalesce(j ->> '$.case_id', j ->> '$.case.case_id')) as bigint) is null""",
     "p5_sections": _SECT,
     "p5_summary_statutes": _STAT,
 }

@@ -105,7 +105,10 @@ def punishment(spark, folder):
     return table(spark, folder, "statutes").select("statute_id", S.punishment(x).alias("punishment"))
 
 
-@query(rf"select statute_id, {STRIP('''nullif(regexp_extract(x, '(?is)in Simple Words\s*\n(.+)', 1), '')''')} as words from (select statute_id, title || case when statute_id % 2 = 0 then ' In Simple Words' || chr(10) else ' ' end || text as x from statutes)")
+_SIMPLE = r"nullif(regexp_extract(x, '(?is)in Simple Words\s*\n(.+)', 1), '')"
+
+
+@query(rf"select statute_id, {STRIP(_SIMPLE)} as words from (select statute_id, title || case when statute_id % 2 = 0 then ' In Simple Words' || chr(10) else ' ' end || text as x from statutes)")
 def simple_explanation(spark, folder):
     x = F.concat("title", F.when(F.col("statute_id") % 2 == 0, F.lit(" In Simple Words\n")).otherwise(" "), "text")
     return table(spark, folder, "statutes").select("statute_id", S.simple_words(x).alias("words"))

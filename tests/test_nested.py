@@ -16,7 +16,7 @@ def rows(spark, records):
 
 
 def found(spark, records):
-    return {tuple(r) for r in nested.case_rows(nested.read_cases(rows(spark, records), texts=False)).collect()}
+    return {tuple(r) for r in nested.case_rows(nested.read_cases(rows(spark, records))).select(*nested.KEYS).collect()}
 
 
 def test_positions_nulls_and_bare_values(spark):
@@ -53,5 +53,30 @@ def test_flatten_and_clash(spark):
 def test_summary_sections(spark):
     kind = "case_id bigint, structured_summary struct<facts:string,issues:string,arguments:string,reasoning:string,decision:string,statutes:array<string>>, ingested_at timestamp"
     data = [(1, ("x", " \n", None, "", "d", ["s", None, "s"]), T0), (1, ("x", " \n", None, "", "d", ["s", None, "s"]), T0), (2, None, T0), (None, None, None)]
-    out = {tuple(r) for r in nested.summary_rows(nested.latest_summaries(spark.createDataFrame(data, kind))).collect()}
+    out = {tuple(r) for r in nested.summary_rows(nested.latest_summaries(spark.createDataFrame(data, kind))).select(*nested.KEYS).collect()}
     assert out == {("section", 1, 0, 0, 0, "facts"), ("section", 1, 0, 0, 0, "decision"), ("summary_statute", 1, 0, 1, 0, ""), ("summary_statute", 1, 0, 3, 0, "")}
+
+
+def test_every_cite_has_a_row_and_every_line_an_end(spark, tmp_path):
+    from lexweave.plans import nested_queries as q
+
+    sentences = [{"start": 0, "end": 4, "cites": ["IPC 302", {"law": "IPC", "section": "34", "span": {"raw": "s. 34", "score": 0.5}}, {"other": 1}, None, 12]}, {"cites": "AIR 1950 SC 27"}]
+    case = {"case_id": 7, "paragraphs": [{"para_id": 1, "text": "x", "paragraph_roles": ["facts"], "sentences": sentences}]}
+    data = [case, None, "", " \t", "{broken", {"paragraphs": []}, {"case_id": "seven", "paragraphs": [{}]}, {"case_id": 8}]
+    rows(spark, data).write.parquet(str(tmp_path / "role_labelled_raw.parquet"))
+    empty = "case_id bigint, structured_summary struct<facts:string,issues:string,arguments:string,reasoning:string,decision:string,statutes:array<string>>, ingested_at timestamp"
+    spark.createDataFrame([], empty).write.parquet(str(tmp_path / "summarization_dataset.parquet"))
+    run = lambda n: q.QUERIES[n](spark, str(tmp_path)).collect()
+    cites = {(r["sentence_no"], r["cite_no"]): (r["law"], r["section"], r["raw"], r["score"], r["value"]) for r in run("p5_cites")}
+    assert cites == {(1, 1): (None, None, None, None, "IPC 302"), (1, 2): ("IPC", "34", "s. 34", 0.5, None), (1, 3): (None,) * 5, (1, 5): (None,) * 4 + ("12",), (2, 1): (None,) * 4 + ("AIR 1950 SC 27",)}
+    found = run("p5_found")
+    for level, name in (("paragraph", "p5_paragraphs"), ("role", "p5_roles"), ("sentence", "p5_sentences"), ("cite", "p5_cites")):
+        assert sum(r["level"] == level for r in found) == len(run(name)) > 0
+    assert {r["line_no"]: r["reason"] for r in run("p5_rejects")} == {2: "blank", 3: "blank", 4: "blank", 5: "unparsed", 6: "no_case_id", 7: "no_case_id"}
+
+
+def test_latest_is_the_same_joined_by_shuffle(spark, monkeypatch):
+    records = [{"case_id": k % 3, "paragraphs": [{"text": str(k), "paragraph_roles": ["a"] * (k + 1)}]} for k in range(9)]
+    small = found(spark, records)
+    monkeypatch.setattr(nested, "BROADCAST_KEYS", 0)
+    assert found(spark, records) == small and {r for r in small if r[0] == "role" and r[3] > 6} == {("role", 0, 1, 7, 0, ""), ("role", 1, 1, 7, 0, ""), ("role", 1, 1, 8, 0, ""), ("role", 2, 1, 7, 0, ""), ("role", 2, 1, 8, 0, ""), ("role", 2, 1, 9, 0, "")}
