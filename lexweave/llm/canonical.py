@@ -226,7 +226,9 @@ class Reader:
         self.aliases = aliases
         self.laws = _automaton({name: ["law", law, ""] for law, names in aliases.items() for name in names}, ahocorasick)
         self.law_words = Vocabulary({t for names in aliases.values() for n in names for t in n.split() if len(t) > 3})
-        self.short_names = {n: law for law, names in aliases.items() for n in names if " " not in n}
+        # a name cut short is too short to be misspelt
+        one = {n: law for law, names in aliases.items() for n in names if " " not in n}
+        self.short_names = {n: law for n, law in one.items() if not any(m != n and m.startswith(n) for m in one)}
         self.markers = Vocabulary({w for w in SECTION_WORDS | ARTICLE_WORDS if len(w) > 3 and " " not in w}, 1)
         self.long_aliases = sorted(((frozenset(n.split()), law) for law, names in aliases.items() for n in names if " " in n and len(n) > 8), key=lambda x: (-len(x[0]), sorted(x[0])))
 

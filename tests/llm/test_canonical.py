@@ -11,6 +11,7 @@ ENTRIES = [
     (6, "IPC", "302", "Forging of census sheets at night"),
     (7, "CRPC", "5", "Delay of dock permits by a trustee"),
     (8, None, None, None),
+    (9, "IPC", "77", "Sale of court registers at night"),
 ]
 
 
@@ -18,7 +19,7 @@ CASES = [
     ("IPC 302", 1), ("Section 302 of the Indian Penal Code", 1), ("Setion 3O2, I.P.C.;", 1), ("302 B N S", 4), ("u/s 92-a Ind. Penal Code", 3), ("§ 92(2)(a) IPC", 2),
     ("S. 92, Explanation Penal Code", 2), ("IPC ९२A", 3), ("Art.14", 5), ("A. 14, Const.", 5), ("article  14A", -1), ("IPC 303", -1), ("Sec 302 of Quarry Dues Act", -1),
     ("FORGING OF CENSUS SHEETS AT NIGHT", 1), ("census sheets at nihgt, forgng (IPC)", 1), ("Forging of census sheets at night, BNS", -1), ("Sale of census sheets at night", -1),
-    ("Delay - dock permits by a truste (CrPC)", 7), ("Delay of dock permits by a trustee", 2), ("302", -1), ("ibid", -1), ("??", -1), ("  ", None), ("", None), (None, None), ("CrPC S", 7),
+    ("Delay - dock permits by a truste (CrPC)", 7), ("Delay of dock permits by a trustee", 2), ("302", -1), ("ibid", -1), ("??", -1), ("  ", None), ("", None), (None, None), ("CrPC S", 7), ("sale court registrs at night", 9),
     ]
 
 
