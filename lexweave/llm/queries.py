@@ -71,12 +71,24 @@ def p6_found(spark, folder):
     return p6_held(spark, folder).select("doc_id", "item_id")
 
 
+def _leaks(spark, folder):
+    return table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text"
+
+
 @query
 def p6_held(spark, folder):
     """The documents with the items they hold, and how many of the item's runs of five words."""
     from lexweave.llm.leakage import leaked
 
-    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return leaked(*_leaks(spark, folder))
+
+
+@query
+def p6_passages(spark, folder):
+    """The documents with a passage of an item, also an edited one: held runs, and the best passage's matched words and edits."""
+    from lexweave.llm.leakage import passages
+
+    return passages(*_leaks(spark, folder))
 
 
 @query
@@ -135,5 +147,8 @@ ORACLES["p1_found"] = f"""with s as ({_GRAMS.format("case_id", "t", 2, "(select
 n as (select case_id, count(*) as n from s group by case_id), p as (select a.case_id as a, b.case_id as b, count(*) as c from s a join s b on a.g = b.g and a.case_id < b.case_id group by all)
 select p.a as case_id_a, p.b as case_id_b from p join n x on x.case_id = p.a join n y on y.case_id = p.b where p.c * 10 >= 6 * (x.n + y.n - p.c)"""
 
-ORACLES["p6_found"] = f"""with d as ({_GRAMS.format("doc_id", "text", 4, "documents")}), i as ({_GRAMS.format("item_id", "text", 4, "eval_items")}), n as (select item_id, count(*) as n from i group by item_id)
-select d.doc_id, i.item_id from d join i on i.g = d.g join n on n.item_id = i.item_id group by d.doc_id, i.item_id, n.n having count(*) * 10 >= 3 * n.n"""
+_HELD = f"""with d as ({_GRAMS.format("doc_id", "text", 4, "documents")}), i as ({_GRAMS.format("item_id", "text", 4, "eval_items")}), n as (select item_id, count(*) as n from i group by item_id)
+{{}} from d join i on i.g = d.g join n on n.item_id = i.item_id group by d.doc_id, i.item_id, n.n having count(*) * 10 >= 3 * n.n"""
+ORACLES["p6_found"] = _HELD.format("select d.doc_id, i.item_id")
+ORACLES["p6_held"] = _HELD.format("select d.doc_id, i.item_id, count(*) as held, ceil(3 * n.n / 10.0)::bigint as item_needs")
+ORACLES["p6_items"] = f"select item_id, count(*) as documents from ({ORACLES['p6_found']}) group by item_id"
