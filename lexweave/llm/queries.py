@@ -124,7 +124,7 @@ def p8_found(spark, folder):
 def p8_pages(spark, folder):
     from lexweave.llm.keyword_pages import keyword_pages
 
-    return keyword_pages(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return keyword_pages(table(spark, folder, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
 
 
 @query

@@ -1,3 +1,5 @@
+import numpy as np
+
 from lexweave.llm import keyword_pages as kp
 
 PROSE = "The appellant worked at the orchard and drew wages until the election was held, but the respondent denied that he had been there. "
@@ -32,10 +34,62 @@ def test_half_is_most_of_a_long_page(spark):
     rows, _, _ = pages()
     half = lambda n: PROSE * n + "\n" + "moot memo Halrepur | fast judgment pdf | " * (4 * n)
     df = spark.createDataFrame(rows + [(401, half(20)), (402, half(2))], "id bigint, text string")
-    got = {r["id"]: r["spam_share"] for r in kp.keyword_pages(df, "id", "text").collect()}
+    got = {r["id"]: r["keyword_share"] for r in kp.keyword_pages(df, "id", "text").collect()}
     assert list(got) == [401] and 0.5 < got[401] < 0.58
 
 
 def test_nothing(spark):
     assert kp.keyword_pages(spark.createDataFrame([], "id bigint, text string"), "id", "text").count() == 0
-    assert kp.measure("") is None and kp.measure("a\n\nb") is None
+    assert kp.measure("", kp.Languages({}, {})) is None and kp.measure("a\n\nb", kp.Languages({}, {})) is None
+
+
+FRENCH = """Le tribunal a considéré que la demande du requérant était fondée, car le bailleur n'avait pas remis les clés dans le délai prévu par le contrat.
+Il ressort des pièces du dossier que la société avait connaissance du défaut, mais qu'elle n'a rien entrepris pour le réparer avant la vente de la maison.
+Dans ces conditions, le jugement doit être confirmé, sans qu'il soit nécessaire d'examiner les autres moyens soulevés par les parties au litige."""
+TAMIL = """நீதிமன்றம் வாதியின் சாட்சியத்தை ஏற்று பிரதிவாதியின் மறுப்பை நிராகரித்தது. நிலம் வாதிக்கு சொந்தமானது என்று ஆவணங்கள் தெளிவாக காட்டுகின்றன.
+மேல்முறையீடு உரிய காரணங்கள் இல்லாததால் தள்ளுபடி செய்யப்பட்டது. செலவுத் தொகை குறித்து எந்த உத்தரவும் பிறப்பிக்கப்படவில்லை."""
+TOPICS = "orchard wages election harvest licence tenancy fence boundary deed survey mortgage partition auction ledger bridge canal permit school tender pension".split()
+
+
+def varied(k):
+    t = TOPICS[k % 20], TOPICS[(k * 7 + 3) % 20], TOPICS[(k * 3 + 11) % 20], TOPICS[(k * 13 + 5) % 20]
+    return f"The claim of the owner to the {t[0]} was denied by the clerk, who had kept the {t[1]} for a year. It was held that the {t[2]} of {k} persons should be returned before the {t[3]} is sold. No costs were asked for by either side, and the court made no order as to them."
+
+
+def test_languages_that_the_corpus_does_not_know_give_no_case(spark):
+    rows = [(k, varied(k), ["en", "EN", None][k % 3]) for k in range(200)] + [(1001, FRENCH, "fr"), (1002, TAMIL, None), (1003, FRENCH.replace("\n", " "), "en"), (1004, "\n".join([FRENCH, "Lire aussi: https://a.test/b"]), "")]
+    rows += [(2001, "avocat pas cher, avocat divorce, avocat bail, avocat pas cher, avocat divorce, " * 6, "fr")]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    assert {r["id"]: r["language"] for r in kp.keyword_pages(df, "id", "text", "lang").collect()} == {2001: ""}
+
+
+def test_every_measure_decides_a_page(spark, monkeypatch):
+    spam = {
+        "function_words": "Bare: " + "\n".join(" ".join(f"{a} {b}" for a, b in zip(TOPICS[k:] + TOPICS[:k], TOPICS[k + 3 :] + TOPICS[: k + 3]))[: 90 + k] for k in range(6)),
+        "separators": "\n".join(f"of the {TOPICS[k]}, the {TOPICS[k + 1]}, by the owner, the owner, was owner, the owner" for k in range(0, 20, 2)),
+        "link": "\n".join(f"See the page of the {t} https://{t}.test/{t}-and-the-owner-of-it" for t in TOPICS),
+        "repeated": "\n".join(["It was held that the order of the court is kept for those who had asked.", "The page of the clerk was sold to the owner."] * 6),
+    }
+    rows = [(k, varied(k), "en") for k in range(200)] + [(1000 + k, t, "en") for k, t in enumerate(spam.values())]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string").cache()
+    run = lambda: {r["id"]: r["keyword_share"] for r in kp.keyword_pages(df, "id", "text", "lang").collect()}
+    found = run()
+    assert set(found) == {1000 + k for k in range(len(spam))}
+    whole = kp.keyword_chunks
+    for k, name in enumerate(spam):
+
+        def without(c, b, known, name=name):
+            c = c.copy()
+            c[name] = 255 if name == "function_words" else 0
+            return whole(c, b, known)
+
+        monkeypatch.setattr(kp, "keyword_chunks", without)
+        assert run().get(1000 + k, 0) < found[1000 + k], name
+    df.unpersist()
+
+
+def test_bounds():
+    h = np.zeros(kp.BINS, np.int64)
+    assert kp.upper_bound(h) == kp.BINS and kp.function_bounds(h) == {"function_words": 0, "usual": 0}
+    h[20:24] = 100
+    assert kp.upper_bound(h) == 23 and 6 <= kp.function_bounds(h)["function_words"] <= 11
