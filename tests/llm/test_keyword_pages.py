@@ -63,29 +63,27 @@ def test_languages_that_the_corpus_does_not_know_give_no_case(spark):
     assert {r["id"]: r["language"] for r in kp.keyword_pages(df, "id", "text", "lang").collect()} == {2001: ""}
 
 
-def test_every_measure_decides_a_page(spark, monkeypatch):
-    spam = {
-        "function_words": "Bare: " + "\n".join(" ".join(f"{a} {b}" for a, b in zip(TOPICS[k:] + TOPICS[:k], TOPICS[k + 3 :] + TOPICS[: k + 3]))[: 90 + k] for k in range(6)),
-        "separators": "\n".join(f"of the {TOPICS[k]}, the {TOPICS[k + 1]}, by the owner, the owner, was owner, the owner" for k in range(0, 20, 2)),
-        "link": "\n".join(f"See the page of the {t} https://{t}.test/{t}-and-the-owner-of-it" for t in TOPICS),
-        "repeated": "\n".join(["It was held that the order of the court is kept for those who had asked.", "The page of the clerk was sold to the owner."] * 6),
-    }
-    rows = [(k, varied(k), "en") for k in range(200)] + [(1000 + k, t, "en") for k, t in enumerate(spam.values())]
-    df = spark.createDataFrame(rows, "id bigint, text string, lang string").cache()
-    run = lambda: {r["id"]: r["keyword_share"] for r in kp.keyword_pages(df, "id", "text", "lang").collect()}
-    found = run()
-    assert set(found) == {1000 + k for k in range(len(spam))}
-    whole = kp.keyword_chunks
-    for k, name in enumerate(spam):
-
-        def without(c, b, known, name=name):
-            c = c.copy()
-            c[name] = 255 if name == "function_words" else 0
-            return whole(c, b, known)
-
-        monkeypatch.setattr(kp, "keyword_chunks", without)
-        assert run().get(1000 + k, 0) < found[1000 + k], name
-    df.unpersist()
+def test_every_measure_decides_chunks():
+    b = {"function_words": 10, "usual": 20, "separators": 8, "pairs": 2, "top_word": 5}
+    c = np.zeros(10, kp.CHUNK_KIND)
+    c["function_words"] = 25
+    c["function_words"][0] = 9  # lacks function words
+    c["link"][1] = c["repeated"][2] = 1
+    for k, two in ((3, ("separators", "pairs")), (4, ("pairs", "top_word")), (5, ("separators", "top_word"))):
+        c["function_words"][k] = 19
+        for name in two:
+            c[name][k] = 9
+    for name in ("separators", "pairs", "top_word"):
+        c[name][6] = 9  # all three, with as many function words as usual
+        c[name][7] = 9  # a list of references
+    c["figures"][7] = 1
+    c["pairs"][8] = 9  # one alone
+    assert np.flatnonzero(kp.keyword_chunks(c, b, True)).tolist() == [0, 1, 2, 3, 4, 5, 6]
+    assert np.flatnonzero(kp.keyword_chunks(c, b, False)).tolist() == [1, 2, 3, 4, 5, 6]
+    for name, lost in (("separators", [3, 5, 6]), ("pairs", [3, 4, 6]), ("top_word", [4, 5, 6]), ("link", [1]), ("repeated", [2])):
+        d = c.copy()
+        d[name] = 0
+        assert np.flatnonzero(kp.keyword_chunks(d, b, True)).tolist() == [k for k in range(7) if k not in lost], name
 
 
 def test_bounds():
