@@ -30,22 +30,26 @@ BROADCAST_IDS = 500_000
 #: Postings of one n-gram that one shard compares; above, they are salted into blocks.
 HOT = 2_000
 PIECES = 64
+#: log2 of the cells of the largest frequency table that is broadcast. A corpus that needs a larger one, at CELLS a text,
+#: counts its n-grams by a shuffle, which gives the same pairs.
+TABLE_BITS, CELLS = 25, 64
 
 
 def _cells(n_texts: int) -> int:
-    """log2 of the frequency table's cells: 64 cells a text, between 2**18 and 2**26 (64 MB)."""
-    return int(min(26, max(18, np.ceil(np.log2(max(1, n_texts) * 64)))))
+    """log2 of the frequency table's cells, at least 18."""
+    return int(max(18, np.ceil(np.log2(max(1, n_texts) * CELLS))))
 
 
 def _scale(counts: np.ndarray) -> np.ndarray:
-    """Counts as one byte, monotone: exact to 100, then logarithmic."""
+    """Counts as one byte, monotone: exact to 100, then logarithmic, to 10**8."""
     c = counts.astype(np.float64)
-    return np.where(c <= 100, c, np.minimum(255, 100 + 8 * np.log2(np.maximum(c, 1) / 100))).astype(np.uint8)
+    return np.where(c <= 100, c, np.minimum(255, 101 + 7.7 * np.log2(np.maximum(c, 1) / 100))).astype(np.uint8)
 
 
 def _unscale(b: np.ndarray) -> np.ndarray:
+    """The largest count of a byte, so that an n-gram never has fewer blocks than it needs."""
     b = b.astype(np.float64)
-    return np.where(b <= 100, b, 100 * 2 ** ((b - 99) / 8))
+    return np.where(b <= 100, b, 100 * 2 ** ((b - 100) / 7.7))
 
 
 def _bound(nx, ny, t: float):
@@ -57,13 +61,21 @@ def read_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
-def set_prints(texts: DataFrame, n: int) -> DataFrame:
-    """(id, print, size): a 128-bit print of each text's n-gram set; texts without an n-gram are left out."""
+def first_pass(texts: DataFrame, n: int, bits: int | None) -> DataFrame:
+    """Two kinds of rows in one reading of the texts.
 
-    def prints(batches):
+    (id, print, size): a 128-bit print of each text's n-gram set; texts without an n-gram are left
+    out. (piece, task, counts): in how many of a task's texts an n-gram of each of the 2**bits cells
+    occurs, in PIECES compressed pieces; none if bits is None.
+    """
+
+    def run(batches):
         import xxhash
+        from pyspark import TaskContext
 
         known = WordHashes()
+        table = None if bits is None else np.zeros(1 << bits, np.uint32)
+        empty = {"piece": None, "task": None, "counts": None}
         for pdf in batches:
             ids, out, sizes = [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
@@ -72,84 +84,108 @@ def set_prints(texts: DataFrame, n: int) -> DataFrame:
                     ids.append(i)
                     out.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "print": out, "size": np.array(sizes, np.int32)})
-
-    return texts.mapInPandas(prints, "id long, print binary, size int").distinct()
+                    if table is not None:
+                        table[np.unique((s >> np.uint64(64 - bits)).astype(np.int64))] += np.uint32(1)
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "print": out, "size": np.array(sizes, np.int32), **empty})
+        if table is not None:
+            parts = [zlib.compress(p.tobytes(), 1) for p in table.reshape(PIECES, -1)]
+            yield pd.DataFrame({"id": None, "print": None, "size": None, "piece": np.arange(PIECES), "task": TaskContext.get().partitionId(), "counts": parts})
 
+    return texts.mapInPandas(run, "id long, print binary, size int, piece int, task int, counts binary")
 
-def frequency_table(texts: DataFrame, n: int, bits: int):
-    """Broadcast uint8 array of 2**bits cells: in how many texts an n-gram of the cell occurs, all texts counted.
 
-    Each task sends its partial table in PIECES compressed pieces, added up in two steps.
-    """
-    spark = texts.sparkSession
+def frequency_table(parts: DataFrame, bits: int):
+    """Broadcast uint8 array of 2**bits cells: in how many texts an n-gram of the cell occurs, all texts counted, added up in two steps."""
+    spark = parts.sparkSession
     cell = (1 << bits) // PIECES
 
-    def partial(batches):
-        from pyspark import TaskContext
-
-        known, table = WordHashes(), np.zeros(1 << bits, np.uint16)
-        for pdf in batches:
-            for text in pdf["text"]:
-                at = (distinct_ngrams(text, n, known) >> np.uint64(64 - bits)).astype(np.int64)
-                if len(at):
-                    at = np.unique(at)
-                    v = table[at]
-                    table[at] = v + (v < 65535)
-        task = TaskContext.get().partitionId()
-        yield pd.DataFrame({"piece": np.arange(PIECES), "task": task, "counts": [zlib.compress(p.tobytes(), 1) for p in table.reshape(PIECES, cell)]})
-
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(cell, np.int64)
+        total = np.zeros(cell, np.uint32)
         for b in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(b), np.uint16)
-        packed = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "task": [pdf["task"].iloc[0] // 64], "counts": [packed]})
+            total += np.frombuffer(zlib.decompress(b), np.uint32)
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "task": [pdf["task"].iloc[0] // 64], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "piece int, task int, counts binary"
-    parts = texts.select("text").mapInPandas(partial, kind)
-    some = parts.groupBy("piece", F.expr("task div 64")).applyInPandas(add, kind)
+    some = parts.select("piece", "task", "counts").groupBy("piece", F.expr("task div 64")).applyInPandas(add, kind)
     whole = some.groupBy("piece").applyInPandas(add, kind)
     table = np.zeros(1 << bits, np.uint8)
     for r in whole.select("piece", "counts").toLocalIterator():  # PIECES rows, 2**bits cells in all
-        table[r["piece"] * cell : (r["piece"] + 1) * cell] = _scale(np.frombuffer(zlib.decompress(r["counts"]), np.uint16))
+        table[r["piece"] * cell : (r["piece"] + 1) * cell] = _scale(np.frombuffer(zlib.decompress(r["counts"]), np.uint32))
     return spark.sparkContext.broadcast(table)
 
 
-def _ordered_prefix(s: np.ndarray, table: np.ndarray, bits: int, t: float, k: int):
+def from_table(texts: DataFrame, n: int, bits: int, table):
+    """The texts, and what makes (ids, n-gram sets, frequencies) of a batch, by the table: two n-grams in a cell only worsen the order."""
+
+    def run(batches):
+        known, freq_of, size_of = WordHashes(), table.value, _unscale(np.arange(256)).astype(np.int64)
+        for pdf in batches:
+            sets = [distinct_ngrams(text, n, known) for text in pdf["text"]]
+            keep = [k for k, s in enumerate(sets) if len(s)]
+            sets = [sets[k] for k in keep]
+            counts = [size_of[freq_of[(s >> np.uint64(64 - bits)).astype(np.int64)]] for s in sets]
+            yield pdf["id"].to_numpy()[keep], sets, counts
+
+    return texts, run
+
+
+def counted(texts: DataFrame, n: int):
+    """The same with exact counts, by a shuffle of n-grams: those of one text only are counted but not sent back."""
+
+    def split(batches):
+        known = WordHashes()
+        for pdf in batches:
+            sets = [distinct_ngrams(text, n, known) for text in pdf["text"]]
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), [len(s) for s in sets]), "gram": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64), "size": np.repeat([len(s) for s in sets], [len(s) for s in sets])})
+
+    grams = texts.mapInPandas(split, "id long, gram long, size int").distinct()
+    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    own = grams.join(often, "gram").groupBy("id").agg(F.first("size").alias("size"), F.collect_list(F.struct("gram", "n")).alias("x"))
+    own = own.select("id", "size", F.transform("x", lambda v: v["gram"]).alias("grams"), F.transform("x", lambda v: v["n"]).alias("counts"))
+
+    def run(batches):
+        for pdf in batches:
+            sets, counts = [], []
+            for size, g, c in zip(pdf["size"], pdf["grams"], pdf["counts"]):
+                # those of this text only come first in the order, whatever they are
+                alone = size - len(g)
+                sets.append(np.r_[np.zeros(alone, np.uint64), np.asarray(g, np.int64).view(np.uint64)])
+                counts.append(np.r_[np.ones(alone, np.int64), np.asarray(c, np.int64)])
+            yield pdf["id"].to_numpy(), sets, counts
+
+    return own, run
+
+
+def _ordered_prefix(s: np.ndarray, freq: np.ndarray, t: float, k: int):
     """The n-grams of s that a partner must share k of, in the global order, and their frequencies."""
-    freq = table[(s >> np.uint64(64 - bits)).astype(np.int64)]
     order = np.lexsort((s, freq))
     take = len(s) - int(np.ceil(t * len(s) - 1e-9)) + k
     order = order[:take]
     return s[order], freq[order]
 
 
-def postings(texts: DataFrame, n: int, t: float, k: int, bits: int, table, shards: int) -> DataFrame:
+def postings(source, t: float, k: int, shards: int) -> DataFrame:
     """The prefixes dealt to shards; a row packs what one batch of texts gives one shard.
 
-    An n-gram in one text only has no partner and is not sent; it keeps its position. An
-    n-gram of more than HOT texts is salted: its texts fall into blocks, and each pair of
-    blocks is a cell with a shard of its own.
+    source: a DataFrame and what makes (ids, sets, frequencies) of its batches. An n-gram in one
+    text only has no partner and is not sent; it keeps its position. An n-gram of more than HOT
+    texts is salted: its texts fall into blocks by its count, and each pair of blocks is a cell
+    with a shard of its own.
     """
+    rows_of, sets_of = source
 
     def deal(batches):
-        known = WordHashes()
-        freq_of = table.value
-        for pdf in batches:
+        for own_ids, sets, counts in sets_of(batches):
             ids, sizes, toks, pos, side, doc = [], [], [], [], [], []
-            for i, text in zip(pdf["id"], pdf["text"]):
-                s = distinct_ngrams(text, n, known)
-                if not len(s):
-                    continue
-                g, f = _ordered_prefix(s, freq_of, bits, t, k)
+            for i, s, f in zip(own_ids, sets, counts):
+                g, f = _ordered_prefix(s, f, t, k)
                 p = np.arange(len(g))
                 shared = f > 1
                 g, f, p = g[shared], f[shared], p[shared]
                 if not len(g):
                     continue
                 tag = np.full(len(g), 2, np.uint8)
-                blocks = np.ceil(_unscale(f) / HOT).astype(np.int64)
+                blocks = -(-f // HOT)
                 if blocks.max(initial=1) > 1:
                     more_g, more_p, more_t = [], [], []
                     for j in np.flatnonzero(blocks > 1):
@@ -184,7 +220,7 @@ def postings(texts: DataFrame, n: int, t: float, k: int, bits: int, table, shard
                 rows.append((int(shard[a]), ids[own].tobytes(), sizes[own].tobytes(), lens.astype(np.int32).tobytes(), g[a:b].astype(np.uint32).tobytes(), np.minimum(p[a:b], 65535).astype(np.uint16).tobytes(), tag[a:b].tobytes() if (tag[a:b] != 2).any() else b""))
             yield pd.DataFrame(rows, columns=["shard", "ids", "sizes", "lens", "grams", "pos", "side"])
 
-    return texts.mapInPandas(deal, "shard int, ids binary, sizes binary, lens binary, grams binary, pos binary, side binary")
+    return rows_of.mapInPandas(deal, "shard int, ids binary, sizes binary, lens binary, grams binary, pos binary, side binary")
 
 
 def build_trie(lens: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -352,16 +388,21 @@ class NearDuplicates:
         """
         spark = df.sparkSession
         self.texts = texts = read_texts(df, id_col, text_col)
-        prints = durable(set_prints(texts, n))
+        bits = _cells(texts.count())
+        bits = bits if bits <= TABLE_BITS else None
+        first = durable(first_pass(texts, n, bits))
+        prints = first.where("id is not null").select("id", "print").distinct()
         reps = prints.groupBy("print").agg(F.min("id").alias("rep"))
         self.members = durable(prints.join(reps, "print").groupBy("id").agg(F.min("rep").alias("rep")))
         total = self.members.count()
         copies = self.members.where("id <> rep").select("id")
         whole = _semi(texts, copies, "left_anti")
-        bits = _cells(total)
-        table = frequency_table(whole, n, bits)
+        if bits is None:
+            source = counted(whole, n)
+        else:
+            source = from_table(whole, n, bits, frequency_table(first.where("piece is not null"), bits))
         shards = max(shuffle_partitions(spark), 1 + total // 20_000)
-        dealt = postings(whole, n, threshold, k, bits, table, shards)
+        dealt = postings(source, threshold, k, shards)
         candidates = durable(candidate_pairs(dealt, threshold, k))
         self.pairs = verify(candidates, whole, n, threshold)
 

@@ -147,6 +147,13 @@ ORACLES["p1_found"] = f"""with s as ({_GRAMS.format("case_id", "t", 2, "(select
 n as (select case_id, count(*) as n from s group by case_id), p as (select a.case_id as a, b.case_id as b, count(*) as c from s a join s b on a.g = b.g and a.case_id < b.case_id group by all)
 select p.a as case_id_a, p.b as case_id_b from p join n x on x.case_id = p.a join n y on y.case_id = p.b where p.c * 10 >= 6 * (x.n + y.n - p.c)"""
 
+ORACLES["p1_groups"] = f"""with recursive s as materialized ({_GRAMS.format("case_id", "t", 2, "(select case_id, min(input_text) as t from summarization_dataset where input_text is not null group by case_id)")}),
+m as (select case_id, min(case_id) over (partition by sig) as rep from (select case_id, string_agg(g, '|' order by g) as sig from s group by case_id)),
+p as (select case_id_a as a, case_id_b as b from ({ORACLES["p1_found"]}) where case_id_a in (select rep from m) and case_id_b in (select rep from m)),
+e as materialized (select a, b from p union all select b, a from p), r as (select distinct rep as x, rep as y from m union select r.x, e.b from r join e on e.a = r.y),
+k as (select x, min(y) as root from r group by x), l as (select a, count(*) as links from e group by a)
+select m.case_id, k.root as group_id, coalesce(l.links, 0) as links from m join k on k.x = m.rep left join l on l.a = m.rep"""
+
 _HELD = f"""with d as ({_GRAMS.format("doc_id", "text", 4, "documents")}), i as ({_GRAMS.format("item_id", "text", 4, "eval_items")}), n as (select item_id, count(*) as n from i group by item_id)
 {{}} from d join i on i.g = d.g join n on n.item_id = i.item_id group by d.doc_id, i.item_id, n.n having count(*) * 10 >= 3 * n.n"""
 ORACLES["p6_found"] = _HELD.format("select d.doc_id, i.item_id")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,27 @@ def test_salted_hot_ngrams_lose_nothing(spark, monkeypatch):
     assert {tuple(r) for r in nd.NearDuplicates(df, "k", "t", 2, 0.5).all_pairs().collect()} == brute(list(enumerate(docs)), 2, 0.5)
 
 
+def test_counts_by_shuffle_lose_nothing(spark, monkeypatch):
+    docs = texts(10, 90, [f"w{k}" for k in range(60)])
+    df = spark.createDataFrame([*enumerate(docs), (200, docs[0]), (201, None), (202, "w1")], "k bigint, t string")
+    want = brute([*enumerate(docs), (200, docs[0])], 3, 0.6)
+    monkeypatch.setattr(nd, "TABLE_BITS", 0)
+    assert {tuple(r) for r in nd.NearDuplicates(df, "k", "t", 3, 0.6).all_pairs().collect()} == want
+    monkeypatch.setattr(nd, "HOT", 4)
+    assert {tuple(r) for r in nd.NearDuplicates(df, "k", "t", 3, 0.6).all_pairs().collect()} == want
+    assert nd.NearDuplicates(df.where("k < 0"), "k", "t").all_pairs().count() == 0
+
+
+def test_an_ngram_of_very_many_texts_is_split(spark):
+    # 80,000 texts share one n-gram that is outside of their prefixes for a partner, and two of them are near copies
+    words = lambda k: " ".join(f"u{k}x{j}" for j in range(6))
+    rows = [(k, f"a b c {words(k)}") for k in range(80_000)] + [(90_000, "a b c " + words(7) + " more"), (90_001, "a b c d")]
+    df = spark.createDataFrame(rows, "k bigint, t string").repartition(8)
+    assert [tuple(r) for r in nd.NearDuplicates(df, "k", "t", 3, 0.6).all_pairs().collect()] == [(7, 90_000)]
+    counts = np.array([1, 100, 101, 65_535, 80_000, 10**7])
+    assert np.all(np.diff(nd._scale(counts).astype(int)) > 0) and np.all(nd._unscale(nd._scale(counts)) >= counts * 0.99)
+
+
 def test_groups(spark):
     base = "a b c d e f g h i j k l m n o p q r s t"
     rows = [(1, base), (2, base), (3, base + " u"), (4, "other words that nothing else has at all here"), (5, None)]
