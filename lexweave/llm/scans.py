@@ -1,10 +1,13 @@
 """Problem 2: text of scanned pages made into continuous paragraphs.
 
-Lines are labelled by a hidden Markov model with the states body, furniture (running headers,
-footers, notices, page numbers) and break (blank lines). Its observations are layout features
-of a line and classes of its words; it is trained by Viterbi re-estimation on a bounded sample
-of pages, from seeds that layout alone makes sure of. How often a line recurs at the edges of
-its PDF's pages is counted over all pages.
+Lines are labelled by hidden Markov models with the states furniture (running headers, footers,
+notices, page numbers), body, and break (a line of the body before which a paragraph ends). The
+first tells furniture from the rest, by layout features of a line and classes of its words; the
+second goes over the lines of the body and tells breaks, by blank lines, how the line before ends
+and how wide it is, and how the line begins. Both are trained by Viterbi re-estimation on a bounded
+sample of pages, from seeds that layout alone makes sure of. Whether a page goes on with the
+paragraph of the page before is asked of the second, without what a page's edge hides. How
+often a line recurs at the edges of its PDF's pages is counted over all pages.
 
 Words are judged by counts over all pages: a word is misread if undoing usual confusions of
 characters gives a word that is far more frequent, or, for names too rare to be counted, one
@@ -14,7 +17,9 @@ divided at a line's end is one if its parts are not usually written with a hyphe
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,8 +35,8 @@ SAMPLE_PAGES = 1_500
 EDGE = 4
 BODY, FURNITURE, BREAK = 0, 1, 2
 BLOOM_BITS = 23
-#: Words that the repair of paragraphs holds in every task, checked; `found` has no such bound.
-MOST_WORDS = 1_000_000
+#: What has more characters is no word.
+LONGEST = 64
 
 # What characters are misread for, (what stands there, what was meant).
 CONFUSIONS = [
@@ -70,7 +75,7 @@ def signed(token: str) -> str | None:
 def is_word(t: str) -> bool:
     """Letters for the most part, perhaps with misread signs or hyphens; no numbers, references or abbreviations."""
     letters = sum(c.isalpha() for c in t)
-    if letters < 2 or letters * 2 < len(t) or any(c in "./,&" for c in t):
+    if letters < 2 or len(t) > LONGEST or letters * 2 < len(t) or any(c in "./,&" for c in t):
         return False
     return not re.fullmatch(r"[A-Z]{1,3}-?\d+[A-Z]?|\d+[A-Za-z]{1,2}|\d+x\d+", t)
 
@@ -80,7 +85,7 @@ def noisy(t: str) -> bool:
     return bool(_NOISE.search(t)) and sum(c.isalpha() for c in t) >= 2
 
 
-def variants(word: str, most: int = 2, limit: int = 400) -> list[tuple[str, int]]:
+def variants(word: str, most: int = 2) -> list[tuple[str, int]]:
     """The words that one or two undone confusions make of a word, with where the first is.
 
     Two confusions are undone of the same kind only, as one scanner makes them.
@@ -96,8 +101,6 @@ def variants(word: str, most: int = 2, limit: int = 400) -> list[tuple[str, int]
                     out.setdefault(word[:i] + b + word[i + len(a) : j] + b + word[j + len(a) :], i)
         if len(at) > 2:
             out.setdefault(word.replace(a, b), at[0])
-        if len(out) >= limit:
-            break
     if noisy(word):  # a sign may have two meanings, and other confusions may come with it
         for v, i in list(out.items()):
             if noisy(v):
@@ -165,7 +168,7 @@ def observe(lines: list[str], repeated: set[int], seen: dict[str, str]) -> list[
             f"run={'on' if k and before[-1:] not in '.?!:' and len(before) > 0.8 * widest else 'new'}",
         ]
         own: dict[str, None] = {}
-        for w in words[:12]:
+        for w in words:
             x = seen.get(w)
             if x is None:
                 if len(seen) > 500_000:
@@ -244,6 +247,96 @@ class LineModel:
         return out
 
 
+def shape_of(line: str, full: int) -> tuple[str, str, str]:
+    """How a line of the body begins, how it ends, and whether it is as wide as the page's lines are (full characters)."""
+    x = line.strip()
+    if re.match(r"\(?(?:\d{1,3}|[ivxl]{1,5}|[a-z])[.)]+\s", x):
+        start = "number"
+    else:
+        start = "lower" if x[:1].islower() else "capitals" if x.isupper() and len(x) > 3 else "other"
+    bare = x.rstrip("\"'”’)]")
+    end = "divided" if divided(x) else "stop" if bare[-1:] in (*".?!:",) else "pause" if bare[-1:] in (*",;",) else "open"
+    return start, end, "short" if len(line.rstrip()) < 0.85 * full else "full"
+
+
+class BreakModel:
+    """Which lines of the body begin a paragraph: weights of the features and of two states' transitions."""
+
+    def __init__(self, pages: list[tuple[list[str], list[int]]], rounds: int = 4):
+        """pages: the lines and their labels by the line model."""
+        seen = [self.observe(lines, labels)[1] for lines, labels in pages]
+        labels = [[self.seed(f) for f in page] for page in seen]
+        for _ in range(rounds):
+            self.fit(seen, labels)
+            labels = [self.viterbi(page) for page in seen]
+
+    @staticmethod
+    def observe(lines: list[str], labels: list[int]):
+        """The indexes of the lines of the body, and the features of all but the first."""
+        at = [i for i, y in enumerate(labels) if y == BODY]
+        full = max((len(lines[i].rstrip()) for i in at), default=0)
+        shapes = [shape_of(lines[i], full) for i in at]
+        out = []
+        for k in range(1, len(at)):
+            blank = any(not lines[i].strip() for i in range(at[k - 1] + 1, at[k]))
+            indent = len(lines[at[k]]) - len(lines[at[k]].lstrip()) >= 2
+            out.append((f"gap={'blank' if blank else 'none'}", f"indent={int(indent)}", *BreakModel.junction(shapes[k - 1], shapes[k])))
+        return at, out
+
+    @staticmethod
+    def junction(before, after) -> tuple[str, str]:
+        """What the ends of two lines of the body tell, also across pages."""
+        return f"before={before[1]}/{before[2]}", f"start={after[0]}"
+
+    @staticmethod
+    def seed(f) -> int | None:
+        """What layout makes sure of: a blank line after a full stop, or a sentence that runs on."""
+        stop = f[2].startswith("before=stop")
+        if f[0] == "gap=blank" and stop:
+            return BREAK
+        return BODY if f[0] == "gap=none" and (not stop or (f[2].endswith("full") and f[3] in ("start=lower", "start=other"))) else None
+
+    def fit(self, seen, labels):
+        n, total, step = {BODY: Counter(), BREAK: Counter()}, Counter(), np.ones((2, 2))
+        for page, lab in zip(seen, labels):
+            last = None
+            for f, y in zip(page, lab):
+                if y is not None:
+                    total[y] += 1
+                    n[y].update(f)
+                    if last is not None:
+                        step[int(last == BREAK), int(y == BREAK)] += 1
+                last = y
+        names = {*n[BODY], *n[BREAK]}
+        self.weight = {x: float(np.clip(np.log((n[BREAK][x] + 0.5) / (total[BREAK] + 1) / ((n[BODY][x] + 0.5) / (total[BODY] + 1))), -6, 6)) for x in names}
+        self.step = np.log(step / step.sum(axis=1, keepdims=True)).tolist()
+        self.prior = float(np.log((total[BREAK] + 1) / (total[BODY] + 1)))
+
+    def score(self, f) -> float:
+        return sum(self.weight.get(x, 0.0) for x in f)
+
+    def viterbi(self, page) -> list[int]:
+        if not page:
+            return []
+        (bb, bn), (nb, nn) = self.step
+        s = [self.score(f) for f in page]
+        b, h, back = 0.0, self.prior + s[0], []
+        for x in s[1:]:
+            to_b, to_n = max((b + bb, 0), (h + nb, 1)), max((b + bn, 0), (h + nn, 1))
+            back.append((to_b[1], to_n[1]))
+            b, h = to_b[0], to_n[0] + x
+        y, out = int(h > b), []
+        for k in range(len(page) - 1, -1, -1):
+            out.append(BREAK if y else BODY)
+            if k:
+                y = back[k - 1][y]
+        return out[::-1]
+
+    def begins(self, before, after) -> bool:
+        """Whether the first line of a page begins a paragraph, given its shape and that of the last line before it."""
+        return self.prior + self.score(self.junction(before, after)) > 0
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -293,13 +386,15 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 #: A word is misread if what was meant is so many times as frequent.
 RATIO = 12
 #: Words as frequent as this share of the most frequent one (at least 8 times) teach how letters follow.
+OFTEN = 1e-4
 _PAD = "^"
 
 
 def letter_runs(words: DataFrame):
     """Broadcast dict: in how many of the frequent words three letters follow each other; at most some 10**5 keys."""
     spark = words.sparkSession
-    often = words.where((F.col("n") >= 8) & F.col("word").rlike("^[a-z]+$"))
+    top = words.agg(F.max("n")).first()[0] or 0
+    often = words.where((F.col("n") >= max(8, OFTEN * top)) & F.col("word").rlike(r"^\p{L}+$"))
     runs = often.select(F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(concat('^', word, '^'), i, 3))")).alias("run"))
     return spark.sparkContext.broadcast({r["run"]: r["n"] for r in runs.groupBy("run").agg(F.count("*").alias("n")).collect()})
 
@@ -326,7 +421,7 @@ def misread_words(words: DataFrame) -> DataFrame:
 
     # a word that stands among the most frequent cannot be outnumbered and needs no proposals
     top = words.agg(F.max("n")).first()[0] or 0
-    rare = words.where((F.col("n") * RATIO <= top) & (F.length("word") >= 3) & (F.length("word") <= 40))
+    rare = words.where(F.col("n") * RATIO <= top)
     proposed = rare.mapInPandas(propose, "word string, n long, meant string, own int, new int")
     known = words.select(F.col("word").alias("meant"), F.col("n").alias("as_meant"))
     j = proposed.join(known, "meant", "left").withColumn("as_meant", F.coalesce("as_meant", F.lit(0)))
@@ -344,15 +439,25 @@ def bloom(words: DataFrame):
     size = 1 << BLOOM_BITS
 
     def bits(batches):
+        from pyspark import TaskContext
+
         table = np.zeros(size, bool)
         for pdf in batches:
             if len(pdf):
                 table[_places(pdf["word"])] = True
-        yield pd.DataFrame({"bits": [np.packbits(table).tobytes()]})
+        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "bits": [zlib.compress(np.packbits(table).tobytes(), 1)]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(size // 8, np.uint8)
+        for b in pdf["bits"]:
+            table |= np.frombuffer(zlib.decompress(b), np.uint8)
+        return pd.DataFrame({"task": [pdf["task"].iloc[0] // 64], "bits": [zlib.compress(table.tobytes(), 1)]})
 
+    kind = "task int, bits binary"
+    parts = words.select("word").mapInPandas(bits, kind).groupBy(F.expr("task div 64")).applyInPandas(add, kind)
     table = np.zeros(size // 8, np.uint8)
-    for r in words.select("word").coalesce(8).mapInPandas(bits, "bits binary").toLocalIterator():
-        table |= np.frombuffer(r["bits"], np.uint8)
+    for r in parts.toLocalIterator():
+        table |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return words.sparkSession.sparkContext.broadcast(np.unpackbits(table).astype(bool))
 
 
@@ -377,9 +482,16 @@ class Scans:
         self.misread = durable(misread_words(self.words))
         repeated = durable(self._repeated(p))
         self.input = p.dropDuplicates(["pdf_id", "page_number"]).join(repeated, ["pdf_id", "page_number"], "left")
-        sample = self.input.orderBy(F.xxhash64("pdf_id", "page_number")).limit(SAMPLE_PAGES).select("text", "repeated").collect()
+        # the sample's keys first: pages are then picked, not sorted
+        keys = p.select("pdf_id", "page_number").distinct().orderBy(F.xxhash64("pdf_id", "page_number"), "pdf_id", "page_number").limit(SAMPLE_PAGES)
+        some = p.join(F.broadcast(keys), ["pdf_id", "page_number"], "left_semi").dropDuplicates(["pdf_id", "page_number"])
+        again = repeated.join(F.broadcast(keys), ["pdf_id", "page_number"], "left_semi")
+        sample = some.join(again, ["pdf_id", "page_number"], "left").orderBy("pdf_id", "page_number").select("text", "repeated").collect()
         spark = p.sparkSession
-        self.model = spark.sparkContext.broadcast(LineModel([(lines_of(r["text"]), set(r["repeated"] or [])) for r in sample]))
+        pages = [(lines_of(r["text"]), set(r["repeated"] or [])) for r in sample]
+        lines = LineModel(pages)
+        breaks = BreakModel([(x, lines.viterbi(observe(x, rep, {}))) for x, rep in pages])
+        self.model, self.breaks = spark.sparkContext.broadcast(lines), spark.sparkContext.broadcast(breaks)
         self.bloom = bloom(self.misread)
 
     @staticmethod
@@ -438,14 +550,15 @@ class Scans:
 
         return self.input.mapInPandas(label, "pdf_id long, page_number int, line_no int, kind string, word string, other string")
 
-    def found(self) -> DataFrame:
-        """(pdf_id, page_number, line_no, kind) of the lines with a defect."""
-        rows = durable(self.labelled())
+    @functools.cached_property
+    def rows(self) -> DataFrame:
+        return durable(self.labelled())
+
+    def _divided(self) -> DataFrame:
+        """The lines whose last word is divided: the forms it may have, and `own`, whether the mark is part of its spelling."""
         key = ["pdf_id", "page_number", "line_no"]
-        furniture = rows.where("kind = 'furniture'").select(*key, F.lit("furniture").alias("kind"))
-        noise = rows.where("kind = 'noisy'").select(*key, F.lit("misread").alias("kind"))
-        first = rows.where("kind = 'first'").select("pdf_id", (F.col("page_number") - 1).alias("page_number"), F.col("word").alias("next"))
-        cut = rows.where("kind = 'divided'").join(first, ["pdf_id", "page_number"], "left").withColumn("other", F.coalesce("other", "next"))
+        first = self.rows.where("kind = 'first'").select("pdf_id", (F.col("page_number") - 1).alias("page_number"), F.col("word").alias("next"))
+        cut = self.rows.where("kind = 'divided'").join(first, ["pdf_id", "page_number"], "left").withColumn("other", F.coalesce("other", "next"))
         mark = F.substring("word", -1, 1)
         stem = F.expr("substring(word, 1, length(word) - 1)")
         cut = cut.select(*key, mark.alias("mark"), F.lower(F.concat(stem, F.coalesce("other", F.lit("")))).alias("joined"), F.lower(F.concat(stem, F.lit("-"), F.coalesce("other", F.lit("")))).alias("hyphened"), "other")
@@ -453,45 +566,66 @@ class Scans:
         n2 = self.words.select(F.col("word").alias("hyphened"), F.col("n").alias("n_hyphened"))
         cut = cut.join(n1, "joined", "left").join(n2, "hyphened", "left")
         own = (F.col("mark") == "-") & (F.coalesce("n_hyphened", F.lit(0)) > F.coalesce("n_joined", F.lit(0)))
-        broken = cut.where(~own).select(*key, F.lit("broken_word").alias("kind"))
+        return cut.select(*key, "joined", "hyphened", own.alias("own"))
+
+    def found(self) -> DataFrame:
+        """(pdf_id, page_number, line_no, kind) of the lines with a defect."""
+        rows = self.rows
+        key = ["pdf_id", "page_number", "line_no"]
+        furniture = rows.where("kind = 'furniture'").select(*key, F.lit("furniture").alias("kind"))
+        noise = rows.where("kind = 'noisy'").select(*key, F.lit("misread").alias("kind"))
+        broken = self._divided().where("not own").select(*key, F.lit("broken_word").alias("kind"))
         maybe = rows.where("kind = 'maybe'").select(*key, "word")
         wrong = maybe.join(self.misread.select("word"), "word", "left_semi").select(*key, F.lit("misread").alias("kind"))
         return furniture.union(noise).union(broken).union(wrong).distinct()
 
+    def repairs(self) -> DataFrame:
+        """(pdf_id, page_number, repairs): for each page its misread words with what was meant, and its words with a hyphen of their own (meant is null)."""
+        key = ["pdf_id", "page_number"]
+        wrong = self.rows.where("kind in ('maybe', 'noisy')").select(*key, F.lower("word").alias("word")).join(self.misread, "word").select(*key, "word", "meant")
+        own = self._divided().where("own").select(*key, F.col("hyphened").alias("word"), F.lit(None).cast("string").alias("meant"))
+        return wrong.union(own).groupBy(*key).agg(F.collect_set(F.struct("word", "meant")).alias("repairs"))
+
     def paragraphs(self) -> DataFrame:
-        """(pdf_id, page_number, para_no, text): continuous paragraphs, on the page where they begin.
+        """(pdf_id, para_no, page_number, text): continuous paragraphs, with the page where they begin.
 
         Furniture is dropped, divided words are joined, misread words replaced by what was meant.
         """
-        model = self.model
-        spark = self.pages.sparkSession
-        joined = self.words.select(F.regexp_replace("word", "-", "").alias("joined"), "word", "n").where("word like '%-%'")
-        own = joined.join(self.words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left").where("n > coalesce(n_joined, 0)").select("word")
-        for what, rows in (("misread", self.misread), ("hyphened", own)):
-            if rows.limit(MOST_WORDS + 1).count() > MOST_WORDS:
-                raise ValueError(f"more than {MOST_WORDS} {what} words: too many to be held by every task")
-        meant = spark.sparkContext.broadcast({r["word"]: r["meant"] for r in self.misread.collect()})
-        usual = spark.sparkContext.broadcast({r["word"] for r in own.collect()})
+        model, breaks = self.model, self.breaks
 
         def assemble(batches):
             seen: dict[str, str] = {}
             for pdf in batches:
                 rows = []
-                for i, n, text, rep in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"]):
-                    for k, (para, on) in enumerate(_page_paragraphs(lines_of(text), set() if rep is None else set(map(int, rep)), model.value, meant.value, usual.value, seen), 1):
-                        rows.append((i, n, k, para, on))
+                for i, n, text, rep, fix in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"], pdf["repairs"]):
+                    fix = [] if fix is None else list(fix)
+                    meant = {r["word"]: r["meant"] for r in fix if r["meant"] is not None}
+                    usual = {r["word"] for r in fix if r["meant"] is None}
+                    for k, part in enumerate(_page_paragraphs(lines_of(text), set() if rep is None else set(map(int, rep)), model.value, breaks.value, meant, usual, seen), 1):
+                        rows.append((i, n, k, *part))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "part", "text", "runs_on"])
+                    yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "part", "text", "glue", "head", "tail"])
 
-        parts = durable(self.input.mapInPandas(assemble, "pdf_id long, page_number int, part int, text string, runs_on boolean"))
+        # input and repairs are both dealt by page: the texts are shuffled once
+        pages = self.input.join(self.repairs(), ["pdf_id", "page_number"], "left")
+        parts = durable(pages.mapInPandas(assemble, "pdf_id long, page_number int, part int, text string, glue string, head array<string>, tail array<string>"))
         order = Window.partitionBy("pdf_id").orderBy("page_number", "part")
+
+        def decide(batches):
+            for pdf in batches:
+                # a later part of a page begins a paragraph, and so does a PDF's first
+                new = [k > 1 or b is None or breaks.value.begins(tuple(b), tuple(h)) for k, h, b in zip(pdf["part"], pdf["head"], pdf["before"])]
+                yield pd.DataFrame({"pdf_id": pdf["pdf_id"], "page_number": pdf["page_number"], "part": pdf["part"], "new": np.array(new, np.int32)})
+
         # which paragraph a page's part belongs to is worked out on narrow rows, without the texts
-        narrow = parts.select("pdf_id", "page_number", "part", "runs_on").withColumn("para_no", F.sum(F.when(F.col("runs_on"), 0).otherwise(1)).over(order)).drop("runs_on")
-        j = parts.drop("runs_on").join(narrow, ["pdf_id", "page_number", "part"])
-        whole = j.groupBy("pdf_id", "para_no").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("page_number", "part", "text"))).alias("x"))
-        joined = F.array_join(F.transform("x", lambda s: s["text"]), " ")
-        text = F.regexp_replace(F.regexp_replace(joined, "([a-zA-Z])[­¬‐] ", "$1"), "([a-z])- ([a-z])", "$1$2")
-        return whole.select("pdf_id", "page_number", F.col("para_no").cast("int").alias("para_no"), text.alias("text"))
+        ends = parts.select("pdf_id", "page_number", "part", "head", F.lag("tail").over(order).alias("before"))
+        new = ends.mapInPandas(decide, "pdf_id long, page_number int, part int, new int")
+        narrow = new.select("pdf_id", "page_number", "part", F.sum("new").over(order).cast("int").alias("para_no"))
+        j = parts.select("pdf_id", "page_number", "part", "text", "glue").join(narrow, ["pdf_id", "page_number", "part"])
+        whole = j.groupBy("pdf_id", "para_no").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("page_number", "part", "text", "glue"))).alias("x"))
+        last = F.element_at("x", -1)["text"]
+        before = F.array_join(F.transform(F.slice("x", 1, F.size("x") - 1), lambda v: F.concat(v["text"], v["glue"])), "")
+        return whole.select("pdf_id", "page_number", "para_no", F.concat(before, last).alias("text"))
 
 
 def _page_rows(lines, repeated, model, judge, seen):
@@ -538,35 +672,39 @@ def _repair(token: str, meant: dict) -> str:
     return token.replace(t, v, 1)
 
 
-def _page_paragraphs(lines, repeated, model, meant, usual, seen):
-    """(text, whether it goes on from the page before) of the page's paragraphs."""
+def _page_paragraphs(lines, repeated, model, breaks, meant, usual, seen):
+    """(text, what joins it to a part that goes on with it, shape of its first line, shape of its last) of the page's paragraphs.
+
+    A hyphen or another mark of division at the page's end is left out of the text; it is in
+    the joint if it is part of the word's own spelling.
+    """
     labels = model.viterbi(observe(lines, repeated, seen))
-    body = [len(lines[i].rstrip()) for i, y in enumerate(labels) if y == BODY]
-    full = max(body, default=0)
-    out, now, last = [], [], None
-    for i, y in enumerate(labels):
+    at, features = breaks.observe(lines, labels)
+    full = max((len(lines[i].rstrip()) for i in at), default=0)
+    out, now = [], []
+    for i, y in zip(at, [BODY, *breaks.viterbi(features)]):
         x = lines[i].strip()
-        if y == FURNITURE:
-            continue
-        # a break, a numbered paragraph, or a short line that ends a sentence begins another
-        new = y == BREAK or re.match(r"\(?\d{1,3}[.)]+\s", x) or (last is not None and last[-1:] in ".?!\"" and len(last) < 0.7 * full)
-        if y == BREAK and now and now[-1][-1:] not in ".?!:;\"”)" and not any(lines[j].strip()[:1].isupper() for j in range(i + 1, len(lines)) if labels[j] == BODY):
-            new = False
-        if new and now:
+        if y == BREAK and now:
             out.append(now)
             now = []
-        if y == BODY:
-            m = divided(now[-1]) if now else None
-            if m:
-                stem, (head, _, tail) = now[-1][: m.start(2)], x.partition(" ")
-                hyphen = m.group(2) == "-" and (core(stem.split()[-1]) + "-" + core(head)).lower() in usual
-                now[-1] = stem + ("-" if hyphen else "") + head
-                x = tail
-            if x:
-                now.append(x)
-            last = x or last
+        shape = shape_of(lines[i], full)
+        m = divided(now[-1][0]) if now else None
+        if m:
+            stem, (head, _, tail) = now[-1][0][: m.start(2)], x.partition(" ")
+            own = m.group(2) == "-" and (core(stem.split()[-1]) + "-" + core(head)).lower() in usual
+            now[-1] = (stem + ("-" if own else "") + head, now[-1][1])
+            x = tail
+        if x:
+            now.append((x, shape))
+        elif now:
+            now[-1] = (now[-1][0], shape)
     if now:
         out.append(now)
-    for k, para in enumerate(out):
-        text = " ".join(_repair(t, meant) for t in " ".join(para).split())
-        yield text, k == 0 and text[:1].islower()
+    for para in out:
+        text, glue = " ".join(x for x, _ in para), " "
+        m = divided(text)
+        if m:
+            stem = core(text[: m.start(2)].split()[-1]).lower() + "-"
+            glue = "-" if m.group(2) == "-" and any(u.startswith(stem) for u in usual) else ""
+            text = text[: m.start(2)]
+        yield " ".join(_repair(t, meant) for t in text.split()), glue, list(para[0][1]), list(para[-1][1])
