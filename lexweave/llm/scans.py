@@ -142,7 +142,17 @@ def _word_feature(token: str) -> str:
     return "w=#" if re.fullmatch(r"[IVXLivxl]*", w) else "w=" + re.sub(r"\d+", "#", w.lower())
 
 
-def observe(lines: list[str], repeated: set[int], seen: dict[str, str]) -> list[list[str] | None]:
+class WordFeatures(dict):
+    """The features of tokens, remembered."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        x = self[token] = _word_feature(token)
+        return x
+
+
+def observe(lines: list[str], repeated: set[int], seen: WordFeatures) -> list[list[str] | None]:
     """The features of each line, None for a blank one. repeated: hashes of templates that recur in the PDF; seen: remembers words' features."""
     full = [i for i, x in enumerate(lines) if x.strip()]
     width = float(np.median([len(lines[i].strip()) for i in full])) if full else 1.0
@@ -167,24 +177,19 @@ def observe(lines: list[str], repeated: set[int], seen: dict[str, str]) -> list[
             f"start={'lower' if x[0].islower() and x[1:2].islower() and not (len(x) < 9 and re.fullmatch(r"[ivxl]+", x)) else 'caps' if x.isupper() and len(x) > 3 else 'other'}",
             f"run={'on' if k and before[-1:] not in '.?!:' and len(before) > 0.8 * widest else 'new'}",
         ]
-        own: dict[str, None] = {}
-        for w in words:
-            x = seen.get(w)
-            if x is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                x = seen[w] = _word_feature(w)
-            own[x] = None
-        f += own
+        f += dict.fromkeys(map(seen.__getitem__, words))
         out[i] = f
     return out
 
 
+_ZEROS = (0.0,) * 9
+
+
 class LineModel:
     """Emission weights (log of a feature's share among furniture over that among body) and transitions."""
 
     def __init__(self, pages: list[tuple[list[str], set[int]]], rounds: int = 4):
-        words: dict[str, str] = {}
+        words = WordFeatures()
         seen = [observe(lines, rep, words) for lines, rep in pages]
         labels = [[None if f is None else self.seed(f) for f in page] for page in seen]
         self.rare: set[str] = set()
@@ -222,7 +227,7 @@ class LineModel:
 
     def score(self, f: list[str]) -> float:
         get, other = self.weight.get, self.weight.get("w=?", 0.0)
-        layout = sum([get(x, 0.0) for x in f[:9]])
+        layout = sum(map(get, f[:9], _ZEROS))
         words = [get(x, other) for x in f[9:]]
         # words depend on each other: a few of them tell as much as all
         return self.prior + layout + (sum(words) / len(words) * min(3, len(words)) if words else 0.0)
@@ -490,7 +495,7 @@ class Scans:
         spark = p.sparkSession
         pages = [(lines_of(r["text"]), set(r["repeated"] or [])) for r in sample]
         lines = LineModel(pages)
-        breaks = BreakModel([(x, lines.viterbi(observe(x, rep, {}))) for x, rep in pages])
+        breaks = BreakModel([(x, lines.viterbi(observe(x, rep, WordFeatures()))) for x, rep in pages])
         self.model, self.breaks = spark.sparkContext.broadcast(lines), spark.sparkContext.broadcast(breaks)
         self.bloom = bloom(self.misread)
 
@@ -523,7 +528,8 @@ class Scans:
         def label(batches):
             m, maybe = model.value, table.value
             known: dict[str, list[tuple[str, str]]] = {}
-            seen: dict[str, str] = {}
+            clean: set[str] = set()  # tokens that are under no suspicion
+            seen = WordFeatures()
 
             def judge(token: str) -> list[tuple[str, str]]:
                 """What a token is under suspicion of, remembered."""
@@ -538,12 +544,16 @@ class Scans:
                         w = forms(token)
                         v = [("maybe", x) for x, hit in zip(w, maybe[_places(w)]) if hit] if w else []
                     known[token] = v
+                    if not v:
+                        if len(clean) > 500_000:
+                            clean.clear()
+                        clean.add(token)
                 return v
 
             for pdf in batches:
                 rows = []
                 for i, n, text, rep in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"]):
-                    for r in _page_rows(lines_of(text), set() if rep is None else set(map(int, rep)), m, judge, seen):
+                    for r in _page_rows(lines_of(text), set() if rep is None else set(map(int, rep)), m, judge, clean, seen):
                         rows.append((i, n, *r))
                 if rows:
                     yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "line_no", "kind", "word", "other"])
@@ -594,7 +604,7 @@ class Scans:
         model, breaks = self.model, self.breaks
 
         def assemble(batches):
-            seen: dict[str, str] = {}
+            seen = WordFeatures()
             for pdf in batches:
                 rows = []
                 for i, n, text, rep, fix in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"], pdf["repairs"]):
@@ -628,7 +638,7 @@ class Scans:
         return whole.select("pdf_id", "page_number", "para_no", F.concat(before, last).alias("text"))
 
 
-def _page_rows(lines, repeated, model, judge, seen):
+def _page_rows(lines, repeated, model, judge, clean, seen):
     labels = model.viterbi(observe(lines, repeated, seen))
     body = [i for i, y in enumerate(labels) if y == BODY]
     for i, y in enumerate(labels):
@@ -657,7 +667,7 @@ def _page_rows(lines, repeated, model, judge, seen):
                     best = next((at for v, at in variants(whole.lower())), 0) if judge(whole) else 0
                     for kind, w in judge(whole):
                         yield (i if best < len(stem) - 1 else body[k + 1]) + 1, kind, w, None
-        for t in tokens[1 if rest else 0 : -1 if m else None]:
+        for t in {*tokens[1 if rest else 0 : -1 if m else None]} - clean:
             for kind, w in judge(t):
                 yield i + 1, kind, w, None
         rest = bool(m)
