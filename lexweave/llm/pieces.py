@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1500, 200
@@ -67,7 +67,11 @@ def _ends(line: str, m: re.Match, nxt: int, body: int) -> bool:
     if not mark.startswith("."):
         return not (len(mark) > 1 and follow.islower() and mark[-1] in "\"'”’")
     end = m.start()
-    tail = line[max(body, end - 60) : end]
+    back = 60
+    tail = line[max(body, end - back) : end]
+    while end - back > body and not any(map(str.isspace, tail)):
+        back *= 2  # the word may be longer
+        tail = line[max(body, end - back) : end]
     word = (tail.rsplit(None, 1) or [""])[-1].lstrip(_OPEN)
     if len(mark) == 1 and len(word) > 4 and word.isalpha():
         return word.lower() not in ABBREVIATIONS  # most sentences end in a word
@@ -150,8 +154,8 @@ def _end(units: list[tuple[int, int]], k: int, j: int, half: int) -> int:
     return natural[-1] if natural else j
 
 
-def split_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, repeated) of the pieces; text[start:end] has at most limit characters.
+def cut_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(start, end, repeated) of the pieces, and the starts of the sentences they are made of; text[start:end] has at most limit characters.
 
     A piece starts and ends where sentences do unless one alone is over the limit. A section or
     line of at most limit - overlap characters is in one piece as a whole. A piece repeats
@@ -159,10 +163,10 @@ def split_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     is longer, its last whole words; if no word fits, its last characters.
     """
     assert 0 <= overlap < limit
-    if len(text) <= limit:
-        return [(0, len(text), 0)]
     marks = boundaries(text)
     sentences = [s for s, _ in marks]
+    if len(text) <= limit:
+        return [(0, len(text), 0)], sentences
     units = [*split_units(marks, text, limit - overlap), (len(text), SECTION)]
     out, k, start, repeated = [], 0, 0, 0
     while k < len(units) - 1:
@@ -185,7 +189,12 @@ def split_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
             m = re.compile(r"(?<=\s)\S").search(text, low, end)
             begin = m.start() if m else min(low, end)
         start, repeated = begin, max(0, end - begin)
-    return out
+    return out, sentences
+
+
+def split_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """The pieces of cut_item alone."""
+    return cut_item(text, limit, overlap)[0]
 
 
 def _map(df: DataFrame, keys: list[str], text_col: str, limit: int, f, schema: str) -> DataFrame:
@@ -209,13 +218,12 @@ def _map(df: DataFrame, keys: list[str], text_col: str, limit: int, f, schema: s
     return big.mapInPandas(run, f"{kinds}, {schema}").distinct()
 
 
-def long_sentences(df: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT) -> DataFrame:
-    """(keys, sent_start): a row for each sentence of each text over the limit, whatever a stored length says.
+def long_sentences(df: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(keys, sent_start): a row for each sentence of the pieces of each text over the limit, whatever a stored length says.
 
-    The rows are the units of split_item with every section and line split into its sentences.
     Null and shorter texts give no row; rows sent again with the same keys and text count once.
     """
-    cut = lambda t: [(s,) for s, _ in split_units(boundaries(t), t, 0, SENTENCE)]
+    cut = lambda t: [(s,) for s in cut_item(t, limit, overlap)[1]]
     return _map(df, keys, text_col, limit, cut, "sent_start int")
 
 
@@ -223,3 +231,18 @@ def split_long(df: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT
     """(keys, piece_no, start, end, repeated, piece) of each text over the limit; pieces count from 1."""
     cut = lambda t: [(i, a, b, r, t[a:b]) for i, (a, b, r) in enumerate(split_item(t, limit, overlap), 1)]
     return _map(df, keys, text_col, limit, cut, "piece_no int, start int, end int, repeated int, piece string")
+
+
+def piece_checks(pieces: DataFrame, df: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """keys and whether a text's pieces are within the limit, repeat no more than the overlap, equal the text at their places and leave out nothing but white space."""
+    texts = df.where(F.length(text_col) > limit).select(*keys, F.col(text_col).alias("__text")).distinct()
+    w = Window.partitionBy(*keys).orderBy("piece_no")
+    j = pieces.join(texts, keys).withColumn("__before", F.coalesce(F.lag("end").over(w), F.lit(0))).withColumn("__last", F.lead("start").over(w).isNull())
+    gap = F.expr("substring(__text, __before + 1, greatest(0, start - __before))")
+    rest = F.when(F.col("__last"), F.expr("substring(__text, `end` + 1)")).otherwise("")
+    return j.groupBy(*keys).agg(
+        F.bool_and(F.length("piece") <= limit).alias("within_limit"),
+        F.bool_and((F.col("repeated") == F.greatest(F.lit(0), F.col("__before") - F.col("start"))) & (F.col("repeated") <= overlap)).alias("overlaps"),
+        F.bool_and(F.col("piece") == F.expr("substring(__text, start + 1, `end` - start)")).alias("in_place"),
+        F.bool_and(~gap.rlike(r"\S") & ~rest.rlike(r"\S")).alias("whole"),
+    )

@@ -75,6 +75,14 @@ def _leaks(spark, folder):
     return table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text"
 
 
+@query
+def p4_checks(spark, folder):
+    """Whether the pieces of each oversized text keep to the limit and the overlap, and lose nothing."""
+    from lexweave.llm.pieces import piece_checks
+
+    return piece_checks(p4_pieces(spark, folder), table(spark, folder, "judgments_paragraphs"), ["case_id", "para_id"], "text")
+
+
 @query
 def p6_held(spark, folder):
     """The documents with the items they hold, and how many of the item's runs of five words."""
@@ -154,6 +162,8 @@ e as materialized (select a, b from p union all select b, a from p), r as (selec
 k as (select x, min(y) as root from r group by x), l as (select a, count(*) as links from e group by a)
 select m.case_id, k.root as group_id, coalesce(l.links, 0) as links from m join k on k.x = m.rep left join l on l.a = m.rep"""
 
+ORACLES["p4_checks"] = "select distinct case_id, para_id, true as within_limit, true as overlaps, true as in_place, true as whole from judgments_paragraphs where length(text) > 1500"
+
 _HELD = f"""with d as ({_GRAMS.format("doc_id", "text", 4, "documents")}), i as ({_GRAMS.format("item_id", "text", 4, "eval_items")}), n as (select item_id, count(*) as n from i group by item_id)
 {{}} from d join i on i.g = d.g join n on n.item_id = i.item_id group by d.doc_id, i.item_id, n.n having count(*) * 10 >= 3 * n.n"""
 ORACLES["p6_found"] = _HELD.format("select d.doc_id, i.item_id")

@@ -63,3 +63,15 @@ def test_rows(spark):
     assert len(got) == len(set(got)) == 200 and (1, 1, 0) in got
     assert pieces.split_long(df.where("para_id > 1"), ["case_id", "para_id"], "text").count() == 0
     assert {r["piece_no"] for r in pieces.split_long(df, ["case_id", "para_id"], "text").collect()} == {1, 2}
+    checks = pieces.piece_checks(pieces.split_long(df, ["case_id", "para_id"], "text"), df, ["case_id", "para_id"], "text").collect()
+    assert [tuple(r) for r in checks] == [(1, 1, True, True, True, True)]
+
+
+def test_a_section_that_ends_at_1009_and_long_words():
+    s = lambda name, n: " ".join(f"{name} number {k:02d} ends here." for k in range(n))
+    a = s("Alpha", 37)
+    a += " " + "x" * (1009 - len(a) - 2) + "."
+    t = a + "\n\n" + s("Beta", 55)
+    assert len(a) == 1009 and pieces.split_item(t)[0] == (0, 1009, 0)
+    # a word of any length is judged as a whole: here it ends in an abbreviation's letters
+    assert pieces.sentence_starts("Section " + "q" * 400 + "no. The end.") == [0, 8 + 400 + 4]
