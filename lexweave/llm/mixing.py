@@ -24,8 +24,6 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BUCKETS = 4096
 #: Leaves of the tree; it is worked out on the driver.
 MOST_LEAVES = 100_000
-# Parameter: the domains of the sources of the test tables; a source not named here is its own domain.
-DOMAINS = {"hc_orders": "courts", "sc_digest": "courts", "tribunal_notes": "courts", "web_crawl": "web", "law_blog": "web", "legal_qa": "web", "bar_news": "web", "statute_notes": "reference", "moot_archive": "reference"}
 
 
 def token_counter(spark, path: str = TOKENIZER, pattern: str = PATTERN):
@@ -120,18 +118,23 @@ def plan_budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
 
 
 class Mixture:
-    """`chosen` (doc_id, source, n_tokens, uses) and `shares` per source of the targets."""
+    """`chosen` (doc_id, source, n_tokens, uses) and `shares` per source of the targets.
+
+    shares tells in `shortfall` why a source has less than its target: no_documents, repeats_used_up
+    (every document is used as often as allowed), or null where it has not, but for the size of a document.
+    """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, tokenizer: str = TOKENIZER, domains: dict | None = None):
         """docs: doc_id, text, lang, source; targets: source, target_weight, max_repeats.
 
         total is the size in tokens, by default what the listed sources hold once. Documents
         of unlisted or null sources, with null ids or without a token are not used; an id
-        given twice counts once. A null language is one of its own. A source without documents gets 0 and its
+        given twice counts once. domains names the domain of a source (by default each is its own).
+        A null language is one of its own. A source without documents gets 0 and its
         weight goes to its siblings. Null weights count as 0, null repeats as 1.
         """
         spark = docs.sparkSession
-        domains = DOMAINS if domains is None else domains
+        domains = domains or {}
         count = token_counter(spark, tokenizer)
         wanted = targets.select(source_name(F.col("source")).alias("source"), F.coalesce("target_weight", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(1)).alias("m"))
         wanted = wanted.where("source is not null").groupBy("source").agg(F.sum("w").alias("w"), F.max("m").alias("m"))
@@ -172,10 +175,20 @@ class Mixture:
         at_edge = d.where("bucket = edge").withColumn("more", (F.col("before") + F.sum("n_tokens").over(w) <= F.col("rest")).cast("int"))
         cols = ["doc_id", "source", "lang", "n_tokens", (F.col("epochs") + F.col("more")).cast("int").alias("uses")]
         self.chosen = sure.select(*cols).union(at_edge.select(*cols)).where("uses > 0")
+        budgets: dict[str, float] = {}
+        for x in leaves:
+            budgets[x["path"][2]] = budgets.get(x["path"][2], 0.0) + budget[x["path"]]
+        weights = sum(w for w, _ in weight.values()) or 1.0
+        why = []
+        for s, (w, m) in weight.items():
+            missing = budgets.get(s, 0.0) < w / weights * self.total - 1
+            why.append((s, None if not missing else "no_documents" if not per_source.get(s) else "repeats_used_up" if budgets[s] >= per_source[s] * m - 1 else None))
+        why = F.broadcast(spark.createDataFrame(why or [], "source string, shortfall string"))  # at most MOST_LEAVES rows
         got = self.chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
         all_ = self.chosen.agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("whole"))
         self.shares = (
             wanted.join(got, "source", "left")
+            .join(why, "source", "left")
             .crossJoin(F.broadcast(all_))  # one row
-            .select("source", F.col("w").alias("target_weight"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"))
+            .select("source", F.col("w").alias("target_weight"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"), "shortfall")
         )

@@ -105,10 +105,14 @@ def p6_items(spark, folder):
     return p6_held(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+# The domains of the sources of the test tables.
+DOMAINS = {"hc_orders": "courts", "sc_digest": "courts", "tribunal_notes": "courts", "web_crawl": "web", "law_blog": "web", "legal_qa": "web", "bar_news": "web", "statute_notes": "reference", "moot_archive": "reference"}
+
+
 def _mixture(spark, folder):
     from lexweave.llm.mixing import Mixture
 
-    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), domains=DOMAINS)
 
 
 @query
