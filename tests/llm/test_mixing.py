@@ -41,7 +41,8 @@ def test_mixture(spark):
     assert all(1 <= r["uses"] <= (2 if r["source"] == "small" else 1) for r in rows)
     shares = {r["source"]: r["share"] for r in m.shares.collect()}
     why = {r["source"]: r["shortfall"] for r in m.shares.collect()}
-    assert why["absent"] == "no_documents" and why["small"] == "repeats_used_up"
+    more = {r["source"]: r["shortfall"] for r in mixing.Mixture(df, targets, total=6000).shares.collect()}
+    assert why["absent"] == "no_documents" and why["small"] is None and more["small"] == "repeats_used_up"
     assert shares["absent"] == 0 and sum(shares.values()) == pytest.approx(1)
     used = sum(r["uses"] * r["n_tokens"] for r in rows)
     budget = sum(b for _, _, _, b, _ in m.plan)
