@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,22 +21,37 @@ def offline_generate(prompts: list[str]) -> list[str]:
 
 
 def hashing_embedder(dimension: int = 64) -> Embed:
-    """Unit vectors of signed hashed words."""
+    """Unit vectors of signed hashed words (runs of letters or digits, in lower case); a text without a word has the zero vector.
+
+    A word's MD5 digest tells its component and its sign, so that any engine can make the same vectors.
+    """
+    known: dict[str, tuple[int, int]] = {}
+    words = re.compile(r"[^\W_]+")
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
+        out = np.zeros((len(texts), dimension))
         for r, t in enumerate(texts):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                out[r, h % dimension] += 1 if h >> 63 else -1
-            n = np.linalg.norm(out[r])
+            for w in words.findall(t.lower()):
+                at = known.get(w)
+                if at is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    h = hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()
+                    at = known[w] = (int.from_bytes(h[:2], "big") % dimension, 1 if h[2] < 128 else -1)
+                out[r, at[0]] += at[1]
+            n = np.sqrt((out[r] * out[r]).sum())
             if n:
                 out[r] /= n
-        return out
+        return out.astype(np.float32)
 
     return embed
 
 
+def offline_rewrite(prompts: list[str]) -> list[str]:
+    """The question at the end of a rewriting prompt, as it was asked."""
+    return [p.rpartition("\n")[2] for p in prompts]
+
+
 def generated(prompt: Column, client: Generate = offline_generate, batch: int = 4) -> Column:
     """A model's answers; null for null prompts, and where a call failed twice. One client a task, `batch` prompts a call."""
 

@@ -54,8 +54,10 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Queries go to the tasks in blocks of at most BLOCK, so vectors are not shuffled; each task
     keeps k candidates a query, and only these are ranked over all. A batch's candidates are all
-    vectors that rounding leaves in reach of its k-th distance. queries: query_id, embedding.
+    vectors that rounding leaves in reach of its k-th distance. queries: query_id, embedding; null
+    vectors on either side are left out. Queries and vectors of different dimensions raise a ValueError.
     """
+    queries = queries.where("query_id is not null and embedding is not null")
     spark = vectors.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
@@ -74,6 +76,8 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 if not len(pdf) or not len(ids):
                     continue
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                if v.shape[1] != m.shape[1]:
+                    raise ValueError(f"vectors of {v.shape[1]} dimensions searched by queries of {m.shape[1]}")
                 own = pdf["vec_id"].to_numpy(np.int64)
                 # of equal vectors only the k lowest ids can be among the nearest
                 rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel()

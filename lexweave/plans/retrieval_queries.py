@@ -1,7 +1,7 @@
 """Queries of vector search, retrieval, responses and summaries.
 
-Evaluation items stand for questions and chunks for texts; the embeddings table gives their
-vectors, by number.
+Evaluation items are the questions, all chunks of PDFs the texts that are searched; both are embedded
+by their words. Plain vector search is over the embeddings table.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as T
 from lexweave.operators import models, retrieval, vectors
 from lexweave.plans.base import query, table
+from lexweave.plans.statute_queries import _KB, ref_key
 from lexweave.plans.text_queries import _KEYS, _STOP
 from lexweave.sources import jsonl, tables
 
@@ -120,24 +121,37 @@ def _chunks(spark, folder):
     return dense_ids(c.select("pdf_id", "chunk_id", "text"), ["pdf_id", "chunk_id"], "vec_id")
 
 
-@query(f"select t.vec_id, t.pdf_id, t.chunk_id, e.label from {_TEXTS} t join embeddings e on e.vec_id = t.vec_id")
+@query(f"select t.vec_id, t.pdf_id, t.chunk_id, e.label from {_TEXTS} t left join embeddings e on e.vec_id = t.vec_id")
 def vector_attach(spark, folder):
-    return _chunks(spark, folder).join(_vectors(spark, folder), "vec_id").select("vec_id", "pdf_id", "chunk_id", "label")
+    """Every chunk with the label of the vector of its number; null where there is none."""
+    return _chunks(spark, folder).join(_vectors(spark, folder), "vec_id", "left").select("vec_id", "pdf_id", "chunk_id", "label")
 
 
 def _questions(spark, folder):
-    q = table(spark, folder, "eval_items").select((F.col("item_id") * 3).alias("query_id"), F.col("text").alias("question"))
-    return q.join(_vectors(spark, folder).select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def _hits(spark, folder):
-    chunks = _chunks(spark, folder).join(_vectors(spark, folder).select("vec_id", "embedding"), "vec_id")
-    return retrieval.retrieve(_questions(spark, folder), chunks)
+    return retrieval.retrieve(_questions(spark, folder), _chunks(spark, folder))
+
+
+def _embedded(source: str, number: str) -> str:
+    """SQL: (id, v) of the texts of a table, by models.hashing_embedder."""
+    return f"""(with e_w as (select {number} as id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) as w from {source} where text is not null),
+e_c as (select id, ('0x' || substr(md5(w), 1, 4))::int % 64 as d, sum(case when substr(md5(w), 5, 2) < '80' then 1 else -1 end) as c from e_w group by all), e_n as (select id, sqrt(sum(c * c)::double) as n from e_c group by id)
+select t.id, list(case when n > 0 then coalesce(c, 0)::double / n else 0.0 end::float::double order by x.d) as v from (select {number} as id from {source} where text is not null) t cross join (select unnest(range(64)) as d) x
+left join e_c on e_c.id = t.id and e_c.d = x.d left join e_n on e_n.id = t.id group by t.id)"""
+
+
+@query(f"select id as item_id, list_transform(v, lambda el: {_R('el', 5)}) as embedding from {_embedded('eval_items', 'item_id')}")
+def embed_texts(spark, folder):
+    e = models.embedded(table(spark, folder, "eval_items"), "text", models.hashing_embedder())
+    return e.select("item_id", F.transform("embedding", lambda x: T.half_up(x.cast("double"), 5)).alias("embedding"))
 
 
-_QN = f"(select item_id * 3 as query_id, text as question, e.v from eval_items join {_V} e on e.vec_id = item_id * 3)"
 _HITS = f"""(select *, list_sort(list_filter(qk, lambda el: list_contains(ck, el))) as common from (select query_id, vec_id, score, rank, question, text, {_KEYS.format('question', _STOP)} as qk, {_KEYS.format('text', _STOP)} as ck from
-(select q.query_id, q.question, t.vec_id, t.text, {_FOLD.format('x.v', 'q.v')} as score, row_number() over (partition by q.query_id order by {_FOLD.format('x.v', 'q.v')}, t.vec_id) as rank from {_QN} q, {_TEXTS} t join {_V} x on x.vec_id = t.vec_id) where rank <= 5))"""
+(select s.query_id, i.text as question, s.vec_id, t.text, s.score, s.rank from (select q.id as query_id, x.id as vec_id, {_FOLD.format('x.v', 'q.v')} as score, row_number() over (partition by q.id order by {_FOLD.format('x.v', 'q.v')}, x.id) as rank
+from {_embedded('eval_items', 'item_id')} q, {_embedded(_TEXTS, 'vec_id')} x) s join eval_items i on i.item_id = s.query_id join {_TEXTS} t on t.vec_id = s.vec_id where s.rank <= 5)))"""
 
 
 @query(f"select query_id, rank, vec_id, common as matching, len(common)::int as overlap_count, {_R('len(common)::double / greatest(len(qk), 1)', 2)} as overlap_ratio from {_HITS}")
@@ -162,20 +176,56 @@ def context_assembly(spark, folder):
     return retrieval.context(_hits(spark, folder))
 
 
-@query(f"select query_id, rank, vec_id, substr(text, 1, 200) || '...' as preview from {_HITS}")
+def _indexed(spark, folder):
+    """The chunks as an index holds them: with their page, section and references."""
+    from lexweave.operators.scans import dense_ids
+
+    c = table(spark, folder, "pdf_chunks").drop("ingested_at").dropDuplicates(["pdf_id", "chunk_id"])
+    c = c.select("pdf_id", "chunk_id", "text", F.col("metadata.page_number").alias("page_number"), F.col("metadata.section").alias("section"), F.col("metadata.statutes_mentioned").alias("statutes"))
+    return dense_ids(c, ["pdf_id", "chunk_id"], "vec_id")
+
+
+def _responses(spark, folder):
+    from lexweave.operators.statutes import first_entries
+
+    return retrieval.responses(_questions(spark, folder), _indexed(spark, folder), first_entries(table(spark, folder, "statutes"), "statute_id"))
+
+
+_META = "(select row_number() over (order by pdf_id, chunk_id) - 1 as vec_id, metadata.page_number as page, metadata.section as section, coalesce(metadata.statutes_mentioned, []) as statutes from (select distinct * exclude (ingested_at) from pdf_chunks))"
+_CITED = f"(select query_id, rank, page, unnest(statutes) as ref, generate_subscripts(statutes, 1) as nth from {_HITS} join {_META} using (vec_id))"
+_CITED = f"(select *, {ref_key('ref')} as key from {_CITED} where ref is not null)"
+
+
+@query(f"select query_id, rank, vec_id, page, section, statutes, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as similarity_pct, common as matching, substr(text, 1, 200) || '...' as preview from {_HITS} join {_META} using (vec_id)")
 def source_attribution(spark, folder):
-    return _hits(spark, folder).select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.concat(F.substring("text", 1, 200), F.lit("...")).alias("preview"))
+    s = _responses(spark, folder).select("query_id", F.explode("sources").alias("s"))
+    return s.select("query_id", F.col("s.rank").cast("bigint").alias("rank"), "s.vec_id", "s.page", "s.section", "s.statutes", "s.similarity_pct", "s.matching", "s.preview")
 
 
 @query(f"select query_id, any_value(question) as question, list(vec_id order by rank) as sources, 4 as steps from {_HITS} group by query_id")
 def rag_response(spark, folder):
-    r = retrieval.responses(_hits(spark, folder))
+    r = _responses(spark, folder)
     return r.select("query_id", "question", F.transform("sources", lambda s: s["vec_id"]).alias("sources"), F.size("trace").alias("steps"))
 
 
-@query()
+@query(f"""select query_id, key, coalesce(law, 'UNKNOWN') as law, coalesce(title, '') as title, pages from (select query_id, key, coalesce(list_sort(list(distinct page) filter (page is not null)), []) as pages from {_CITED} group by all) left join {_KB} using (key)""")
+def rag_statutes(spark, folder):
+    """The statutes that a question's hits cite, with their entries and pages."""
+    s = _responses(spark, folder).select("query_id", F.explode("statutes").alias("s"))
+    return s.select("query_id", "s.key", "s.law", "s.title", F.array_sort("s.pages").alias("pages"))
+
+
+@query(f"""with t as (select query_id, any_value(question) as question, count(*) as hits from {_HITS} group by query_id), s as (select query_id, count(distinct key) as n from {_CITED} group by query_id),
+j as (select query_id, question, hits || ' chunks' as c, coalesce(n, 0) || ' statutes' as n from t left join s using (query_id))
+select query_id, 1 as step, 'rewrite' as action, question as input, question as output from j union all select query_id, 2, 'search', question, c from j union all select query_id, 3, 'statutes', c, n from j union all select query_id, 4, 'answer', c || ', ' || n, 'answered' from j""")
+def rag_trace(spark, folder):
+    """What each step was given and gave."""
+    return _responses(spark, folder).select("query_id", F.explode("trace").alias("t")).select("query_id", "t.*")
+
+
+@query(f"select query_id, substr(split_part(trim('[Source 1]' || chr(10) || arg_min(text, rank) || chr(10) || '---', ' ' || chr(10)), '. ', 1), 1, 300) as answer from {_HITS} group by query_id")
 def rag_answers(spark, folder):
-    return retrieval.responses(_hits(spark, folder)).select("query_id", "answer")
+    return _responses(spark, folder).select("query_id", "answer")
 
 
 _SECT = "(select pdf_id, metadata.section as section, string_agg(text, ' ' order by chunk_id) as text from (select distinct * exclude (ingested_at) from pdf_chunks) where metadata.section is not null group by all)"
@@ -205,9 +255,3 @@ def doc_summary(spark, folder):
 @query("select user_id, event_id, rank from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events) where rank <= 5")
 def recent_queries(spark, folder):
     return retrieval.recent(table(spark, folder, "events")).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query()
-def embed_texts(spark, folder):
-    e = models.embedded(table(spark, folder, "eval_items"), "text", models.hashing_embedder())
-    return e.select("item_id", F.size("embedding").alias("dimension"))
