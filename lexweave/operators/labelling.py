@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import roles as R
+from lexweave.operators.scans import numbered
 
 BATCH = 4
 
@@ -18,10 +19,12 @@ def ruled(paragraphs: DataFrame) -> DataFrame:
 
 
 def batched(paragraphs: DataFrame, size: int = BATCH) -> DataFrame:
-    """Usable paragraphs with `batch`, the number of their group of `size` in their case's order, and all_ruled."""
+    """Usable paragraphs, which should be narrow rows, with `batch`, the number of their group of `size` in their case's order, and all_ruled.
+
+    A case of any size is numbered in ranges; the windows that follow see one batch each.
+    """
     u = paragraphs.where(F.coalesce("usable_for_evidence", F.lit(True)))
-    w = Window.partitionBy("case_id").orderBy("para_id")
-    b = u.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    b = numbered(u, ["case_id"], ["para_id"], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("bigint"))
     return b.withColumn("all_ruled", F.bool_and(F.col("rule").isNotNull()).over(Window.partitionBy("case_id", "batch"))) if "rule" in b.columns else b
 
 

@@ -25,6 +25,24 @@ def dense_ids(df: DataFrame, keys: list[str], name: str, start: int = 0) -> Data
     return df.join(ids, keys)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df, which should be narrow, with each row's number within its group from 0; null keys are a group of their own.
+
+    Range partitions are numbered on their own, so that a group of any size is spread over tasks. Only
+    the first group of a range can have begun in an earlier one: a row per range says how far it was.
+    Rows equal in group and order are numbered in any order.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    k = durable(df.repartitionByRange(n, *group, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = k.groupBy("__range", *group).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.withColumn("__before", before).where("__before > 0").select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g_{g}") for g in group], "__before")
+    own = F.row_number().over(Window.partitionBy("__range", *group).orderBy(*order)) - 1
+    same = [k["__range"] == F.col("__r")] + [k[g].eqNullSafe(F.col(f"__g_{g}")) for g in group]
+    j = k.withColumn(name, own).join(F.broadcast(shift), same, "left")  # a row per range at most
+    return j.withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("bigint")).select(*df.columns, name)
+
+
 def text_blocks(blocks: DataFrame, margin: float = 50.0, least_chars: int = 10, margin_words: int = 15) -> DataFrame:
     """Text blocks worth keeping: type 0, long enough, and inside the page's margins unless they have many words.
 

@@ -1,14 +1,24 @@
 """Segmentation: paragraphs, fragments, long paragraphs, alignment, sentences and chunks.
 
-Sequential steps are folds over one text's array inside the row: nothing is shuffled.
+Sequential steps go over one text's array inside the row, in time linear in its length: nothing
+is shuffled. Chunks, which go across the rows of a document, are packed on narrow rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import match_form, strip
+from lexweave.functions.text import strip
+from lexweave.operators.scans import numbered
+from lexweave.operators.statutes import sized
+from lexweave.session import durable
 
 # Where paragraphs begin, and where a long one may be cut.
 PARAGRAPH_BREAK = r"\n\s*\n|\n(?=\d+\.\s)|\n(?=\[\d+\]\s)|\n(?=\([ivx]+\)\s)|\n(?=[A-Z][a-z]+:\s)|\n(?=[•\-]+\s)"
@@ -23,68 +33,117 @@ def split_paragraphs(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
+# White space as the engine's regular expressions have it.
+_SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _kernel(one, kind: str):
+    """A pandas UDF of a function of a row's values; null where the first is."""
+    single = one.__code__.co_argcount == 1
+
+    def run(batches):
+        for columns in batches:
+            rows = ((v,) for v in columns) if single else zip(*columns)
+            yield pd.Series([None if row[0] is None else one(*row) for row in rows], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series] if single else Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
+
+
 def merge_fragments(parts: Column, least: int = 50) -> Column:
     """Parts under `least` characters joined by a blank to the part before; a short first one stays and may grow."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
 
-    def step(s, p):
-        short = s["now"].isNotNull() & (F.length(p) < least)
-        done = F.when(short | s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"]))
-        return F.struct(done.alias("done"), F.when(short, F.concat(s["now"], F.lit(" "), p)).otherwise(p).alias("now"))
+    def one(values):
+        groups: list[list[str]] = []
+        for p in values:
+            if groups and len(p) < least:
+                groups[-1].append(p)
+            else:
+                groups.append([p])
+        return [" ".join(g) for g in groups]
 
-    return F.aggregate(parts, zero, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])))
+    return _kernel(one, "array<string>")(parts)
 
 
-def pack(parts: Column, limit: int) -> Column:
-    """Parts joined by blanks as long as they stay within the limit; a part over it stands alone."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+def _packed(parts, limit: int) -> list[str]:
+    done, now, size = [], [], 0
+    for p in parts:
+        if size and size + len(p) + 1 <= limit:
+            now.append(p)
+            size += len(p) + 1
+        else:
+            if size:
+                done.append(" ".join(now).strip(_SPACE))
+            now, size = [p], len(p)
+    return done + ([" ".join(now).strip(_SPACE)] if size else [])
+
 
-    def step(s, p):
-        fits = F.length(s["now"]) + F.length(p) + 1 <= limit
-        full = s["now"] != ""
-        now = F.when(fits & full, F.concat(s["now"], F.lit(" "), p)).otherwise(p)
-        done = F.when(fits | ~full, s["done"]).otherwise(F.array_append(s["done"], strip(s["now"])))
-        return F.struct(done.alias("done"), now.alias("now"))
+def _splitter(limit: int):
+    legal, sentence = (re.compile(p.replace(r"\s", f"[{_SPACE}]")) for p in (LEGAL_BREAK, SENTENCE_BREAK))
 
-    return F.aggregate(parts, zero, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], strip(s["now"]))))
+    def split(text: str) -> list[str]:
+        if len(text) <= limit:
+            return [text]
+        parts = legal.split(text)
+        packed = _packed(parts, limit)
+        if len(parts) > 1 and not all(len(c) > limit for c in packed):
+            return packed
+        return [c[k : k + limit] for c in _packed(sentence.split(text), limit) for k in range(0, max(1, len(c)), limit)]
+
+    return split
+
+
+def pack(parts: Column, limit: int) -> Column:
+    """Parts joined by blanks as long as they stay within the limit; a part over it stands alone."""
+    return _kernel(lambda values: _packed(values, limit), "array<string>")(parts)
 
 
 def split_long(text: Column, limit: int = 1500) -> Column:
     """A text over the limit in packed parts: at legal breaks unless all parts stay over the limit, else at
     sentences, and what is over it still at every `limit` characters."""
-    legal = F.split(text, "(?U)" + LEGAL_BREAK)
-    packed = pack(legal, limit)
-    sentences = pack(F.split(text, "(?U)" + SENTENCE_BREAK), limit)
-    hard = F.flatten(F.transform(sentences, lambda c: F.when(F.length(c) <= limit, F.array(c)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / limit).cast("int")), lambda i: F.substring(c, i * limit + 1, F.lit(limit))))))
-    usable = (F.size(legal) > 1) & ~F.forall(packed, lambda c: F.length(c) > limit)
-    return F.when(F.length(text) <= limit, F.array(text)).when(usable, packed).otherwise(hard)
+    split = _splitter(limit)
+    return _kernel(lambda t: split(t), "array<string>")(text)
 
 
 def segment(text: Column, limit: int = 1500, least: int = 50, most: int = 800) -> Column:
     """A text's paragraphs: split, fragments merged, long ones cut, the first `most` of them."""
-    return F.slice(F.flatten(F.transform(merge_fragments(split_paragraphs(text), least), lambda p: split_long(p, limit))), 1, most)
+    split = _splitter(limit)
+    return _kernel(lambda values: [c for p in values for c in split(p)][:most], "array<string>")(merge_fragments(split_paragraphs(text), least))
 
 
 def align(text: Column, parts: Column) -> Column:
     """array<struct<start, end, mode>>: where each part stands in the text, searching on from the one before.
 
     mode is exact, spaced (found with white space unified; the offsets are then approximate)
-    or failed (null offsets; the search goes on as many characters further).
+    or failed (null offsets; the search goes on as many characters further). A null text
+    gives null. White space is unified once, and the places of its words kept.
     """
-    kind = "struct<start:int,end:int,mode:string>"
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(0).alias("at"))
-
-    def step(s, p):
-        exact = F.position(p, text, s["at"] + 1)
-        rest = match_form(F.substring(text, s["at"] + 1, F.length(text)))
-        spaced = F.position(match_form(p), rest)
-        start = F.when(exact > 0, exact - 1).when(spaced > 0, s["at"] + spaced - 1)
-        mode = F.when(exact > 0, "exact").when(spaced > 0, "spaced").otherwise("failed")
-        end = start + F.length(p)
-        row = F.struct(start.alias("start"), end.alias("end"), mode.alias("mode")).cast(kind)
-        return F.struct(F.array_append(s["done"], row).alias("done"), F.coalesce(end, s["at"] + F.length(p)).alias("at"))
-
-    return F.aggregate(parts, zero, step, lambda s: s["done"])
+    word = re.compile(f"[^{re.escape(_SPACE)}]+")
+
+    def one(text, values):
+        if values is None:
+            return None
+        unified = starts = None
+        at, out = 0, []
+        for p in values:
+            found, mode = text.find(p, at), "exact"
+            if found < 0:
+                if unified is None:
+                    words = list(word.finditer(text))
+                    unified, starts = " ".join(m.group() for m in words), [m.start() for m in words]
+                    ends = [m.end() for m in words]
+                    places = np.cumsum([0, *(len(m.group()) + 1 for m in words)])
+                # where what is left of the text begins in the unified one: within a word, or at the next
+                k = bisect_left(ends, at + 1)
+                base = int(places[k]) + max(0, at - starts[k]) if k < len(starts) else len(unified)
+                spaced = unified.find(" ".join(word.findall(p)), base)
+                found, mode = (at + spaced - base, "spaced") if spaced >= 0 and base <= len(unified) else (None, "failed")
+            end = None if found is None else found + len(p)
+            out.append({"start": found, "end": end, "mode": mode})
+            at = at + len(p) if end is None else end
+        return out
+
+    return _kernel(one, "array<struct<start:int,end:int,mode:string>>")(text, parts)
 
 
 def sentences(text: Column) -> Column:
@@ -94,35 +153,42 @@ def sentences(text: Column) -> Column:
 def chunk_blocks(blocks: DataFrame, group: str, order: list[str], most_words: int = 400) -> DataFrame:
     """(group, chunk_id, text, page_number, word_count): whole sentences packed across a group's blocks up to most_words.
 
-    blocks: group, order columns, page_number, text. The page is the least one in the chunk. A
-    group is one document; its sentences are folded in one row, so documents set the memory a task needs.
+    blocks: group, order columns (unique in a group), page_number, text. The page is the least one
+    in the chunk. Sentences are packed by their numbers of words alone, 30 bytes a sentence; texts meet again in
+    their chunks, so that a document of any length is spread over tasks. Null and blank texts have no sentence.
     """
     from lexweave.functions.text import word_count
 
-    s = blocks.select(group, *order, "page_number", F.transform(sentences(F.col("text")), lambda x: F.struct(x.alias("text"), word_count(x).alias("n"))).alias("s"))
-    g = s.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, "page_number", "s"))).alias("b"))
-    flat = F.flatten(F.transform("b", lambda b: F.transform(b["s"], lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), b["page_number"].alias("page")))))
-    kind = "struct<text:string,page:int,n:int>"
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("n"))
-
-    def close(v):
-        return F.struct(F.array_join(v["now"], " ").alias("text"), v["page"].alias("page"), v["n"].alias("n")).cast(kind)
-
-    def step(v, x):
-        full = (v["n"] + x["n"] > most_words) & (v["n"] > 0)
-        return F.struct(
-            F.when(full, F.array_append(v["done"], close(v))).otherwise(v["done"]).alias("done"),
-            F.when(full, F.array(x["text"])).otherwise(F.array_append(v["now"], x["text"])).alias("now"),
-            F.when(full, x["page"]).otherwise(F.least(v["page"], x["page"])).cast("int").alias("page"),
-            F.when(full, x["n"]).otherwise(v["n"] + x["n"]).alias("n"),
-        )
-
-    chunks = F.aggregate(flat, zero, step, lambda v: F.when(F.size(v["now"]) > 0, F.array_append(v["done"], close(v))).otherwise(v["done"]))
-    return g.select(group, F.posexplode(chunks).alias("at", "c")).select(group, (F.col("at") + 1).alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.page").alias("page_number"), F.col("c.n").alias("word_count"))
+    s = blocks.select(group, *order, "page_number", F.posexplode(sentences(F.col("text"))).alias("__at", "__text")).withColumn("__n", word_count(F.col("__text")))
+    s = durable(s)
+    keys = [group, *order, "__at"]
+    kinds = {f.name: f.dataType.simpleString() for f in s.schema.fields}
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*order, "__at"], kind="stable").reset_index(drop=True)
+        upto = np.r_[0, np.cumsum(pdf["__n"].to_numpy(np.int64))]
+        chunk, a = np.zeros(len(pdf), np.int32), 0
+        no = 0
+        while a < len(pdf):
+            # as many sentences as fit, but one at least that has a word
+            b = int(np.searchsorted(upto, upto[a] + most_words, side="right")) - 1
+            first = int(np.searchsorted(upto, upto[a], side="right"))
+            b = max(a + 1, b, min(first, len(pdf)))
+            no += 1
+            chunk[a:b] = no
+            a = b
+        return pdf[keys].assign(chunk_id=chunk)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", chunk_id int"
+    chunks = s.select(*keys, "__n").groupBy(group).applyInPandas(cut, schema)
+    j = s.join(chunks, keys)
+    g = j.groupBy(group, "chunk_id").agg(F.array_sort(F.collect_list(F.struct(*order, "__at", "__text"))).alias("x"), F.min("page_number").cast("int").alias("page_number"), F.sum("__n").cast("int").alias("word_count"))
+    return g.select(group, "chunk_id", F.array_join(F.transform("x", lambda v: v["__text"]), " ").alias("text"), "page_number", "word_count")
 
 
 def positions(df: DataFrame, group: str, order: str) -> DataFrame:
-    """df with `position`: start for the first fifth of a group, end after its fourth, else middle."""
-    w = Window.partitionBy(group)
-    i, n = F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w)
-    return df.withColumn("position", F.when(i * 5 < n, "start").when(i * 5 > n * 4, "end").otherwise("middle"))
+    """df, which should be narrow, with `position`: start for the first fifth of a group, end after its fourth, else middle."""
+    d = numbered(df, [group], [order], "__i")
+    n = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    j = d.join(sized(n), d[group].eqNullSafe(F.col("__g")))
+    return j.withColumn("position", F.when(F.col("__i") * 5 < F.col("__n"), "start").when(F.col("__i") * 5 > F.col("__n") * 4, "end").otherwise("middle")).select(*df.columns, "position")

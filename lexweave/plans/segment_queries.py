@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import cleaning, quality, segments
+from lexweave.operators import cleaning, quality, scans, segments
 from lexweave.plans.base import PARAS, STRIP, paragraphs, query, table
 
 _HALF4 = "floor(({}) * 10000.0::double + 0.5) / 10000.0::double"
@@ -183,9 +183,8 @@ def chunk_enrich(spark, folder):
 
 @query(f"select case_id, para_id, row_number() over (partition by case_id order by para_id) as number from {PARAS}")
 def para_number(spark, folder):
-    from pyspark.sql import Window
-
-    return paragraphs(spark, folder).select("case_id", "para_id", F.row_number().over(Window.partitionBy("case_id").orderBy("para_id")).cast("bigint").alias("number"))
+    p = scans.numbered(paragraphs(spark, folder).select("case_id", "para_id"), ["case_id"], ["para_id"], "number")
+    return p.withColumn("number", F.col("number") + 1)
 
 
 @query(f"""select case_id, para_id, case when i * 5 < n then 'start' when i * 5 > n * 4 then 'end' else 'middle' end as position
