@@ -125,10 +125,12 @@ def drifted(label: Column) -> Column:
 
 
 def parsed_labels(answer: Column, n: int, part: Column) -> Column:
-    """n labels of a model's answer: the JSON list `labels` if it has n, else the first n role names in it, else null.
+    """n labels of a model's answer: the JSON list `labels` if it has n, else the first n role names in it, else those of its
+    lines that are a role name once all but letters and underscores is dropped, else null.
 
     part: the answer's JSON part.
     """
+    names = F.regexp_extract_all(F.lower(answer), F.lit(r"(?U)\b(" + "|".join(ROLES) + r")\b"), F.lit(1))
+    lines = F.filter(F.transform(F.split(F.lower(answer), "\n"), lambda x: F.regexp_replace(x, "[^a-z_]", "")), lambda x: x.isin(ROLES))
     listed = F.from_json(part, "labels array<string>")["labels"]
-    names = F.regexp_extract_all(F.lower(answer), F.lit(r"(?U)\b(" + "|".join(["facts", "arguments", "reasoning", "statutory", "procedural", "issues", "final_decision", "other"]) + r")\b"), F.lit(1))
-    return F.when(F.size(listed) == n, listed).when(F.size(names) >= n, F.slice(names, 1, n))
+    return F.when(F.size(listed) == n, listed).when(F.size(names) >= n, F.slice(names, 1, n)).when(F.size(lines) >= n, F.slice(lines, 1, n))

@@ -50,3 +50,14 @@ def punishment(text: Column) -> Column:
 def simple_words(text: Column) -> Column:
     """All that follows the line 'in simple words'; null if there is none."""
     return strip(F.nullif(F.regexp_extract(text, r"(?isU)in Simple Words\s*\n(.+)", 1), F.lit("")))
+
+
+def law_badge(law: Column) -> Column:
+    """The badge of an entry, by its law; a null law has that of unknown ones."""
+    return F.when(law.isin("IPC", "BNS"), law).when(law == "CONSTITUTION", "ART").otherwise("UNKNOWN")
+
+
+def cited_badge(ref: Column) -> Column:
+    """The badge of a reference as it was typed."""
+    u = F.upper(ref)
+    return F.when(F.contains(u, F.lit("ART")), "ART").when(F.contains(u, F.lit("IPC")), "IPC").otherwise("BNS")

@@ -196,3 +196,14 @@ def clean_rewrite(answer: Column, question: Column) -> Column:
     t = F.regexp_replace(strip(answer), "^[\"']+|[\"']+$", "")
     return F.when(F.length(F.coalesce(t, F.lit(""))) < 10, question).otherwise(t)
 
+
+# The sections of a judgment, in the order in which they are looked for.
+SECTIONS = ["FACTS", "ISSUES", "ARGUMENTS", "REASONING", "JUDGMENT"]
+
+
+def section_named(c: Column) -> Column:
+    """The first of the sections that a model's answer names, else UNKNOWN."""
+    u, out = F.upper(c), F
+    for s in SECTIONS:
+        out = out.when(F.contains(u, F.lit(s)), s)
+    return out.otherwise("UNKNOWN")

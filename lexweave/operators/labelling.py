@@ -57,6 +57,20 @@ def label(paragraphs: DataFrame, model: Column | None = None) -> DataFrame:
     return done.unionByName(unused)
 
 
+def label_single(paragraphs: DataFrame, model: Column) -> DataFrame:
+    """case_id, para_id, role, source, confidence, each paragraph on its own.
+
+    A pattern decides at 0.9; else the model's label (a column, null where its call failed), reduced to letters and
+    underscores, at 0.75 if it is a role; else the fallback, at 0.5, or at 0.4 where the call failed. All
+    paragraphs are labelled, usable or not; one that was sent again counts once.
+    """
+    p = ruled(paragraphs).withColumn("a", F.regexp_replace(F.lower(model), "[^a-z_]", ""))
+    three = lambda role, source, conf: F.struct(role.alias("role"), source.alias("source"), F.lit(conf).cast("double").alias("confidence"))
+    x = F.when(F.col("routed").isNotNull(), three(F.col("routed.role"), F.col("routed.source"), 0.9)).when(F.col("a").isNull(), three(F.col("spare"), F.lit("rule_fallback"), 0.4))
+    x = x.when(F.col("a").isin(R.ROLES), three(F.col("a"), F.lit("llm_single"), 0.75)).otherwise(three(F.col("spare"), F.lit("llm_fallback"), 0.5))
+    return p.select("case_id", "para_id", x.alias("x")).select("case_id", "para_id", "x.*").dropDuplicates(["case_id", "para_id"])
+
+
 def distribution(labels: DataFrame) -> DataFrame:
     """(case_id, role, n)."""
     return labels.groupBy("case_id", "role").agg(F.count("*").alias("n"))

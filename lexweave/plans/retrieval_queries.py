@@ -6,11 +6,13 @@ by their words. Plain vector search is over the embeddings table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import models, retrieval, vectors
-from lexweave.plans.base import query, table
+from lexweave.plans.base import ORACLES, query, table
 from lexweave.plans.statute_queries import _KB, ref_key
 from lexweave.plans.text_queries import _KEYS, _STOP
 from lexweave.sources import jsonl, tables
@@ -21,7 +23,7 @@ _FOLD = "list_reduce(list_transform(generate_series(1, len({0})), lambda j: ({0}
 _DOT = "list_reduce(list_transform(generate_series(1, len({0})), lambda j: {0}[j] * {1}[j]), lambda acc, nx: acc + nx, 0.0::double)"
 _V = f"(select vec_id, {_D} as v, label from embeddings)"
 _R = lambda x, k: f"floor(({x}) * {float(10**k)}::double + 0.5) / {float(10**k)}::double"
-_NEAR = f"""(select query_id, vec_id, score, row_number() over (partition by query_id order by score, vec_id) as rank from (select q.vec_id as query_id, x.vec_id, {_FOLD.format('x.v', 'q.v')} as score from {_V} q, {_V} x where q.vec_id % 50 = 0)
+_NEAR = f"""(select query_id, vec_id, score, row_number() over (partition by query_id order by score, vec_id) as rank from (select q.vec_id as query_id, x.vec_id, {_FOLD.format('x.v', 'q.v')} as score from {_V} q, {_V} x where q.vec_id % 20 = 0)
 qualify row_number() over (partition by query_id order by score, vec_id) <= 5)"""
 
 
@@ -34,7 +36,7 @@ def _first(spark, folder):
 
 
 def _queries(spark, folder):
-    return _vectors(spark, folder).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _vectors(spark, folder).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"select x.vec_id, {_R(_FOLD.format('x.v', 'q.v'), 6)} as score, {_R('greatest(0.0, 100.0 / (' + _FOLD.format('x.v', 'q.v') + ' + 1))', 4)} as similarity_pct from {_V} q, {_V} x where q.vec_id = 0 order by {_FOLD.format('x.v', 'q.v')}, x.vec_id limit 5")
@@ -71,29 +73,9 @@ def knn_batch(spark, folder):
     return n.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), T.half_up(F.col("score"), 6).alias("score"), retrieval.similarity_pct(F.col("score")).alias("similarity_pct"))
 
 
-@query(f"select vec_id, pct, case when pct >= 70 then 'green' when pct >= 50 then 'amber' else 'red' end as band, least(pct, 100.0::double) as bar from (select vec_id, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as pct from {_NEAR} where query_id = 0)")
+@query(f"select query_id, vec_id, pct, case when pct >= 70 then 'green' when pct >= 50 then 'amber' else 'red' end as band, least(pct, 100.0::double) as bar from (select query_id, vec_id, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as pct from {_NEAR})")
 def similarity_band(spark, folder):
-    n = vectors.nearest_each(_vectors(spark, folder), _queries(spark, folder).where("query_id = 0"), 5).select("vec_id", retrieval.similarity_pct(F.col("score")).alias("pct"))
-    return n.select("vec_id", "pct", retrieval.band(F.col("pct")).alias("band"), F.least("pct", F.lit(100.0)).alias("bar"))
-
-
-# every 20th vector as a search; the two queries above keep to the searches of their SQL
-_NEAR_20 = _NEAR.replace("% 50 = 0", "% 20 = 0")
-
-
-def _searches(spark, folder):
-    q = _vectors(spark, folder).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.nearest_each(_vectors(spark, folder), q, 5)
-
-
-@query(f"select query_id, vec_id, rank, {_R('score', 6)} as score, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as similarity_pct from {_NEAR_20}")
-def knn_searches(spark, folder):
-    return _searches(spark, folder).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), T.half_up(F.col("score"), 6).alias("score"), retrieval.similarity_pct(F.col("score")).alias("similarity_pct"))
-
-
-@query(f"select query_id, vec_id, pct, case when pct >= 70 then 'green' when pct >= 50 then 'amber' else 'red' end as band, least(pct, 100.0::double) as bar from (select query_id, vec_id, {_R('greatest(0.0, 100.0 / (score + 1))', 2)} as pct from {_NEAR_20})")
-def search_bands(spark, folder):
-    n = _searches(spark, folder).select("query_id", "vec_id", retrieval.similarity_pct(F.col("score")).alias("pct"))
+    n = vectors.nearest_each(_vectors(spark, folder), _queries(spark, folder), 5).select("query_id", "vec_id", retrieval.similarity_pct(F.col("score")).alias("pct"))
     return n.select("query_id", "vec_id", "pct", retrieval.band(F.col("pct")).alias("band"), F.least("pct", F.lit(100.0)).alias("bar"))
 
 
@@ -255,3 +237,25 @@ def doc_summary(spark, folder):
 @query("select user_id, event_id, rank from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events) where rank <= 5")
 def recent_queries(spark, folder):
     return retrieval.recent(table(spark, folder, "events")).select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _store(spark, folder, name):
+    return f"{jsonl.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select pdf_id, chunk_id, text from (select distinct * exclude (ingested_at) from pdf_chunks) qualify pdf_id % 2 = 1 or chunk_id = min(chunk_id) over (partition by pdf_id)")
+def ingest_replace(spark, folder):
+    """All documents stored, and those of even number ingested again with their first chunk alone: nothing of the first delivery is left of them."""
+    c = table(spark, folder, "pdf_chunks").drop("ingested_at").dropDuplicates(["pdf_id", "chunk_id"]).select("pdf_id", "chunk_id", "text")
+    path = _store(spark, folder, "chunks")
+    tables.replace_documents(c, path, "pdf_id")
+    tables.replace_documents(c.where("pdf_id % 2 = 0").groupBy("pdf_id").agg(F.min(F.struct("chunk_id", "text")).alias("x")).select("pdf_id", "x.*"), path, "pdf_id")
+    return tables.stored_documents(spark, path)
+
+
+@query(ORACLES["doc_summary"])
+def summary_reload(spark, folder):
+    """Summaries stored beside their index and reloaded."""
+    path = _store(spark, folder, "summaries")
+    tables.replace_documents(doc_summary(spark, folder), path, "pdf_id")
+    return tables.stored_documents(spark, path)

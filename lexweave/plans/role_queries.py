@@ -184,3 +184,18 @@ def text_hash(spark, folder):
 def resume_anti(spark, folder):
     done = table(spark, folder, "summarization_dataset").select("case_id")
     return table(spark, folder, "judgments_paragraphs").select("case_id").distinct().join(done, "case_id", "left_anti")
+
+
+_ONE = "case length(text) % 5 when 0 then ' Facts. ' when 1 then 'statutory' when 2 then 'nonsense' when 3 then null else 'Final_Decision!' end"
+_ONE_ROLE = "case length(text) % 5 when 0 then 'facts' when 1 then 'statutory' when 4 then 'final_decision' end"
+
+
+@query(f"""select case_id, para_id, coalesce(routed, {_ONE_ROLE}, spare) as role, case when routed is not null then routed_source when length(text) % 5 = 3 then 'rule_fallback' when length(text) % 5 = 2 then 'llm_fallback' else 'llm_single' end as source,
+case when routed is not null then 0.9::double when length(text) % 5 = 3 then 0.4::double when length(text) % 5 = 2 then 0.5::double else 0.75::double end as confidence from {_RULED}""")
+def label_single(spark, folder):
+    return labelling.label_single(table(spark, folder, "judgments_paragraphs"), F.expr(_ONE))
+
+
+@query(f"select case_id, map_from_entries(list((role, n) order by role)) as role_distribution from (select case_id, role, count(*) as n from {_OFFLINE} group by all) group by case_id")
+def role_maps(spark, folder):
+    return labelling.distribution_maps(_labels(spark, folder))

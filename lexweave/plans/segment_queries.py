@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import cleaning, quality, scans, segments
-from lexweave.plans.base import PARAS, STRIP, paragraphs, query, table
+from lexweave.plans.base import ORACLES, PARAS, STRIP, paragraphs, query, table
 
 _HALF4 = "floor(({}) * 10000.0::double + 0.5) / 10000.0::double"
 
@@ -131,6 +131,21 @@ def split_long(spark, folder):
     return p.select(F.concat_ws("-", "case_id", "para_id").alias("k"), segments.split_long(F.col("text"), 400).alias("chunks"))
 
 
+@query(f"with t as (select case_id::varchar || '-' || para_id as k, text as p from {PARAS}) select k, chunks from {_long(1500)}")
+def split_long_full(spark, folder):
+    """At the limit of production."""
+    p = paragraphs(spark, folder)
+    return p.select(F.concat_ws("-", "case_id", "para_id").alias("k"), segments.split_long(F.col("text")).alias("chunks"))
+
+
+@query(f"""with t as (select {{'c': case_id, 'j': j}} as k, p from (select case_id, unnest(parts) as p, generate_subscripts(parts, 1) as j from {_ISLANDS})),
+s as (select k.c as case_id, flatten(list(chunks order by k.j))[1:800] as parts from {_long(1500)} group by 1) select case_id, generate_subscripts(parts, 1) as para_id, unnest(parts) as text from s""")
+def segment_cases(spark, folder):
+    """The segmentation stage as a whole, with its limits."""
+    d = _texts(spark, folder).select("case_id", F.posexplode(segments.segment(F.col("text"))).alias("at", "text"))
+    return d.select("case_id", (F.col("at") + 1).cast("bigint").alias("para_id"), "text")
+
+
 # a paragraph of three is spaced otherwise, one of ten is not in the text
 _ALIGN = f"(select case_id, text, list_transform(parts, lambda el, ix: case when ix % 10 = 0 then 'zzz ' || el when ix % 3 = 0 then replace(el, ' ', '  ') else el end) as parts from {_ISLANDS})"
 _SPACED = r"regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
@@ -246,3 +261,14 @@ def segmentation_stats(spark, folder):
 select 'longest', * from (select case_id, n from c order by n desc, case_id limit 25) union all select 'shortest', * from (select case_id, n from c order by n, case_id limit 25)""")
 def segment_samples(spark, folder):
     return quality.samples(quality.validated(table(spark, folder, "judgments_paragraphs")).select("case_id", "n"))
+
+
+@query(ORACLES["cleaning_stats"])
+def report_roundtrip(spark, folder):
+    """The cleaning report written as one JSON file and read back."""
+    from lexweave.sources import jsonl
+
+    path = f"{jsonl.shared_folder(spark)}/report-{spark.sparkContext.applicationId}-{folder.strip('/').replace('/', '-')}"
+    report = quality.cleaning_stats(_gated(spark, folder))
+    jsonl.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)

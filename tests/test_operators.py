@@ -40,16 +40,15 @@ def test_nfkc_and_html(spark):
     assert one(spark, T.html_to_text, "<p> a &amp; b<script>x</script></p><b>c") == "a & b\nc" and one(spark, T.html_to_text, None) is None
 
 
-def test_nfkc_all_has_every_document(spark, tmp_path):
+def test_nfkc_has_every_document(spark, tmp_path):
     import unicodedata
 
     from lexweave.plans import registry
 
     rows = [(1, "ﬁne ２", "en"), (2, "क़ानून ①", "hi"), (3, "½ page", None), (4, "№ 5 e\u0301", "EN"), (5, None, "en"), (6, "", ""), (7, "plain", "en")]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(tuple(r) for r in registry.QUERIES["nfkc_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["nfkc"](spark, str(tmp_path)).collect())
     assert got == [(i, t and unicodedata.normalize("NFKC", t)) for i, t, _ in rows]
-    assert "nfkc_all" not in registry.ORACLES
 
 
 def test_json_part_and_words(spark):
@@ -148,7 +147,7 @@ def test_every_20th_vector_is_searched(spark, tmp_path):
 
     rows = [(i, [float(i), float(i % 7)], 0) for i in range(101)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    for name in ("knn_searches", "search_bands"):
+    for name in ("knn_batch", "similarity_band"):
         got = [r["query_id"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == [q for q in range(0, 101, 20) for _ in range(5)]
 
