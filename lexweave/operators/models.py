@@ -47,6 +47,45 @@ def hashing_embedder(dimension: int = 64) -> Embed:
     return embed
 
 
+def _post(url: str, body: dict, timeout: float) -> dict:
+    import json
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.loads(answer.read())
+
+
+def http_generate(url: str, model: str, options: dict | None = None, timeout: float = 90.0) -> Generate:
+    """A client of a text model served over HTTP: a prompt is posted as JSON, the answer is its `response`, stripped.
+
+    options are passed on, such as temperature or the number of tokens. A status of failure, a
+    timeout or an answer without `response` raises, and is taken by `generated` as a failed call.
+    """
+
+    def call(prompts: list[str]) -> list[str]:
+        return [_post(url, {"model": model, "prompt": p, "stream": False, "options": options or {}}, timeout)["response"].strip() for p in prompts]
+
+    return call
+
+
+def http_embed(url: str, model: str, timeout: float = 60.0) -> Embed:
+    """A client of an embedding model served over HTTP: a batch of texts is posted as `input`, the answer holds `embeddings`."""
+
+    def call(texts: list[str]) -> np.ndarray:
+        out = np.array(_post(url, {"model": model, "input": texts}, timeout)["embeddings"], np.float32)
+        if out.ndim != 2 or len(out) != len(texts):
+            raise ValueError(f"{len(texts)} texts gave embeddings of shape {out.shape}")
+        return out
+
+    return call
+
+
+def embedding_dimension(client: Embed) -> int:
+    """The number of components that a client gives."""
+    return len(client(["test"])[0])
+
+
 def offline_rewrite(prompts: list[str]) -> list[str]:
     """The question at the end of a rewriting prompt, as it was asked."""
     return [p.rpartition("\n")[2] for p in prompts]

@@ -175,6 +175,13 @@ def structured_summary(spark, folder):
     return labelling.summaries(p, labels)
 
 
+@query(f"""select * from (select case_id, {_S('facts')} as facts, {_S('issues')} as issues, {_S('arguments')} as arguments, {_S('reasoning')} as reasoning, {_S('final_decision')} as decision
+from (select p.case_id, p.para_id, p.text, o.role from {PARAS} p join {_OFFLINE} o on o.case_id = p.case_id and o.para_id = p.para_id) group by case_id) where length(facts) > 100 and length(reasoning) > 100""")
+def labelled_summary(spark, folder):
+    """Summaries by the labeller's own roles."""
+    return labelling.summaries(paragraphs(spark, folder), _labels(spark, folder))
+
+
 @query(f"select case_id, sha256(string_agg({STRIP('text')}, '' order by para_id)) as text_hash from {PARAS} where coalesce(usable_for_evidence, true) group by case_id")
 def text_hash(spark, folder):
     return labelling.text_hashes(paragraphs(spark, folder))

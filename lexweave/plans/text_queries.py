@@ -188,15 +188,15 @@ def section_category(spark, folder):
 
 @query(rf"""with b as (select pdf_id, page_number, k as line_no, trim(regexp_replace(lines[k], '\s+', ' ', 'g')) as text, coalesce(page_height, 842.0) as h, (k * 40 % 800)::double as y0, (k * 40 % 800)::double + 12.0 as y1
 from (select pdf_id, page_number, page_height, string_split(text, chr(10)) as lines, unnest(generate_series(1, len(string_split(text, chr(10))))) as k from (select distinct * exclude (ingested_at) from pdf_pages)))
-select pdf_id, page_number, line_no, text from b where length(text) >= 10 and ((y0 >= 50.0 and y1 <= h - 50.0) or len(list_filter(string_split(text, ' '), lambda el: el <> '')) >= 15)""")
+select pdf_id, page_number, line_no, text from b where line_no % 7 <> 0 and length(text) >= 10 and ((y0 >= 50.0 and y1 <= h - 50.0) or len(list_filter(string_split(text, ' '), lambda el: el <> '')) >= 15)""")
 def pdf_block_filter(spark, folder):
     p = table(spark, folder, "pdf_pages").drop("ingested_at").dropDuplicates(["pdf_id", "page_number"])
     b = p.select("pdf_id", "page_number", F.coalesce("page_height", F.lit(842.0)).alias("page_height"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
     b = b.withColumn("line_no", F.col("at") + 1).withColumn("y0", (F.col("line_no") * 40 % 800).cast("double")).withColumn("y1", F.col("y0") + 12)
-    return scans.text_blocks(b.withColumn("block_type", F.lit(0))).select("pdf_id", "page_number", F.col("line_no").cast("bigint").alias("line_no"), "text")
+    return scans.text_blocks(b.withColumn("block_type", (F.col("line_no") % 7 == 0).cast("int"))).select("pdf_id", "page_number", F.col("line_no").cast("bigint").alias("line_no"), "text")
 
 
-@query()
+@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda el: {STRIP('el')}), lambda el: el <> ''), chr(10)) as text from documents")
 def html_to_text(spark, folder):
     page = F.concat(F.lit("<html><body><p>"), F.regexp_replace("text", "\n", "</p><p>"), F.lit("</p><script>x()</script></body></html>"))
     return table(spark, folder, "documents").select("doc_id", T.html_to_text(page).alias("text"))

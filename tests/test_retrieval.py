@@ -163,3 +163,36 @@ def test_badges_and_sections(spark):
     assert [r[0] for r in df.select(S.law_badge(F.col("c"))).collect()] == ["IPC", "ART", "UNKNOWN", "UNKNOWN"]
     d = spark.createDataFrame([("Part of the reasoning",), ("none",), (None,)], "c string")
     assert [r[0] for r in d.select(T.section_named(F.col("c"))).collect()] == ["REASONING", "UNKNOWN", "UNKNOWN"]
+
+
+def test_clients_over_http(spark):
+    import http.server
+    import json
+    import threading
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if body["model"] == "down":
+                self.send_error(500)
+                return
+            out = {"response": f" {body['prompt'].upper()} {body['options']} "} if "prompt" in body else {"embeddings": [[float(len(t)), 1.0] for t in body["input"]]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        df = spark.createDataFrame([(1, "abc"), (2, None)], "k int, t string")
+        got = {r["k"]: r["a"] for r in df.select("k", models.generated(F.col("t"), models.http_generate(url, "m", {"temperature": 0}, 5)).alias("a")).collect()}
+        assert got == {1: "ABC {'temperature': 0}", 2: None}
+        assert df.select(models.generated(F.col("t"), models.http_generate(url, "down")).alias("a")).where("a is not null").count() == 0
+        e = {r["k"]: r["embedding"] for r in models.embedded(df, "t", models.http_embed(url, "m", 5)).collect()}
+        assert e == {1: [3.0, 1.0], 2: None} and models.embedding_dimension(models.http_embed(url, "m")) == 2
+    finally:
+        server.shutdown()
