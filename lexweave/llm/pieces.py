@@ -103,6 +103,8 @@ def _cut(text: str, a: int, b: int, limit: int) -> list[int]:
         at = at + 2 if at >= limit // 2 else 0
         if not at:
             at = max(window.rfind(" "), window.rfind("\t")) + 1
+        if not window[:at].strip():
+            at = 0  # white space is no part of its own
         starts.append(s + (at if at > 0 else limit))
     return starts
 
@@ -187,7 +189,7 @@ def cut_item(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[lis
             begin = inside[0]
         else:
             m = re.compile(r"(?<=\s)\S").search(text, low, end)
-            begin = m.start() if m else min(low, end)
+            begin = m.start() if m else low if low < end else nxt  # after white space only there is nothing to repeat
         start, repeated = begin, max(0, end - begin)
     return out, sentences
 

@@ -18,7 +18,7 @@ def test_sentences():
 words = st.text(alphabet="ab. \n;", max_size=4000)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(words, st.integers(20, 300), st.integers(0, 19))
 def test_pieces_cover_the_text(t, limit, overlap):
     p = pieces.split_item(t, limit, overlap)
@@ -75,3 +75,12 @@ def test_a_section_that_ends_at_1009_and_long_words():
     assert len(a) == 1009 and pieces.split_item(t)[0] == (0, 1009, 0)
     # a word of any length is judged as a whole: here it ends in an abbreviation's letters
     assert pieces.sentence_starts("Section " + "q" * 400 + "no. The end.") == [0, 8 + 400 + 4]
+
+
+def test_white_space_before_a_long_word():
+    for t in (" " + ";" * 20, " " * 30 + ";" * 25, "a" + " " * 45 + "b" * 30, "\t" * 50):
+        for overlap in (0, 5, 19):
+            p = pieces.split_item(t, 20, overlap)
+            assert p[0][0] == 0 and all(b - a <= 20 for a, b, _ in p)
+            covered = {i for a, b, _ in p for i in range(a, b)}
+            assert all(t[i].isspace() for i in range(len(t)) if i not in covered)
