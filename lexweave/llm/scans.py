@@ -521,7 +521,7 @@ class Scans:
         return e.join(often, ["pdf_id", "t"]).groupBy("pdf_id", "page_number").agg(F.collect_list("t").alias("repeated"))
 
     def labelled(self) -> DataFrame:
-        """Rows of five kinds, by line: furniture; divided (word: the first part, other: the rest or null);
+        """Rows of six kinds, by line: labels (word: those of the page's lines, a digit each; line 0); furniture; divided (word: the first part, other: the rest or null);
         maybe (word that may be misread); noisy (word with signs in it); first (word that opens the page's text)."""
         model, table = self.model, self.bloom
 
@@ -590,34 +590,35 @@ class Scans:
         return furniture.union(noise).union(broken).union(wrong).distinct()
 
     def repairs(self) -> DataFrame:
-        """(pdf_id, page_number, repairs): for each page its misread words with what was meant, and its words with a hyphen of their own (meant is null)."""
+        """(pdf_id, page_number, labels, repairs): for each page its lines' labels, its misread words with what was meant, and its words with a hyphen of their own (meant is null)."""
         key = ["pdf_id", "page_number"]
-        wrong = self.rows.where("kind in ('maybe', 'noisy')").select(*key, F.lower("word").alias("word")).join(self.misread, "word").select(*key, "word", "meant")
-        own = self._divided().where("own").select(*key, F.col("hyphened").alias("word"), F.lit(None).cast("string").alias("meant"))
-        return wrong.union(own).groupBy(*key).agg(F.collect_set(F.struct("word", "meant")).alias("repairs"))
+        labels = self.rows.where("kind = 'labels'").select(*key, F.col("word").alias("labels"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("meant"))
+        wrong = self.rows.where("kind in ('maybe', 'noisy')").select(*key, F.lower("word").alias("word")).join(self.misread, "word").select(*key, F.lit(None).cast("string").alias("labels"), "word", "meant")
+        own = self._divided().where("own").select(*key, F.lit(None).cast("string").alias("labels"), F.col("hyphened").alias("word"), F.lit(None).cast("string").alias("meant"))
+        word = F.when(F.col("word").isNotNull(), F.struct("word", "meant"))
+        return labels.union(wrong).union(own).groupBy(*key).agg(F.max("labels").alias("labels"), F.collect_set(word).alias("repairs"))
 
     def paragraphs(self) -> DataFrame:
         """(pdf_id, para_no, page_number, text): continuous paragraphs, with the page where they begin.
 
         Furniture is dropped, divided words are joined, misread words replaced by what was meant.
         """
-        model, breaks = self.model, self.breaks
+        breaks = self.breaks
 
         def assemble(batches):
-            seen = WordFeatures()
             for pdf in batches:
                 rows = []
-                for i, n, text, rep, fix in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["repeated"], pdf["repairs"]):
+                for i, n, text, labels, fix in zip(pdf["pdf_id"], pdf["page_number"], pdf["text"], pdf["labels"], pdf["repairs"]):
                     fix = [] if fix is None else list(fix)
                     meant = {r["word"]: r["meant"] for r in fix if r["meant"] is not None}
                     usual = {r["word"] for r in fix if r["meant"] is None}
-                    for k, part in enumerate(_page_paragraphs(lines_of(text), set() if rep is None else set(map(int, rep)), model.value, breaks.value, meant, usual, seen), 1):
+                    for k, part in enumerate(_page_paragraphs(lines_of(text), list(map(int, labels)), breaks.value, meant, usual), 1):
                         rows.append((i, n, k, *part))
                 if rows:
                     yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "part", "text", "glue", "head", "tail"])
 
         # input and repairs are both dealt by page: the texts are shuffled once
-        pages = self.input.join(self.repairs(), ["pdf_id", "page_number"], "left")
+        pages = self.input.drop("repeated").join(self.repairs(), ["pdf_id", "page_number"])
         parts = durable(pages.mapInPandas(assemble, "pdf_id long, page_number int, part int, text string, glue string, head array<string>, tail array<string>"))
         order = Window.partitionBy("pdf_id").orderBy("page_number", "part")
 
@@ -640,6 +641,7 @@ class Scans:
 
 def _page_rows(lines, repeated, model, judge, clean, seen):
     labels = model.viterbi(observe(lines, repeated, seen))
+    yield 0, "labels", "".join(map(str, labels)), None
     body = [i for i, y in enumerate(labels) if y == BODY]
     for i, y in enumerate(labels):
         if y == FURNITURE:
@@ -682,13 +684,12 @@ def _repair(token: str, meant: dict) -> str:
     return token.replace(t, v, 1)
 
 
-def _page_paragraphs(lines, repeated, model, breaks, meant, usual, seen):
+def _page_paragraphs(lines, labels, breaks, meant, usual):
     """(text, what joins it to a part that goes on with it, shape of its first line, shape of its last) of the page's paragraphs.
 
     A hyphen or another mark of division at the page's end is left out of the text; it is in
     the joint if it is part of the word's own spelling.
     """
-    labels = model.viterbi(observe(lines, repeated, seen))
     at, features = breaks.observe(lines, labels)
     full = max((len(lines[i].rstrip()) for i in at), default=0)
     out, now = [], []
