@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import strip
 from lexweave.operators.scans import numbered
 from lexweave.operators.statutes import sized
-from lexweave.session import durable
+from lexweave.session import durable, shuffle_partitions
 
 # Where paragraphs begin, and where a long one may be cut.
 PARAGRAPH_BREAK = r"\n\s*\n|\n(?=\d+\.\s)|\n(?=\[\d+\]\s)|\n(?=\([ivx]+\)\s)|\n(?=[A-Z][a-z]+:\s)|\n(?=[•\-]+\s)"
@@ -155,7 +156,8 @@ def chunk_blocks(blocks: DataFrame, group: str, order: list[str], most_words: in
 
     blocks: group, order columns (unique in a group), page_number, text. The page is the least one
     in the chunk. Sentences are packed by their numbers of words alone, 30 bytes a sentence; texts meet again in
-    their chunks, so that a document of any length is spread over tasks. Null and blank texts have no sentence.
+    their chunks, so that a document of any length is spread over tasks. Null and blank texts have no
+    sentence; rows with a null group or order belong to no document and are left out.
     """
     from lexweave.functions.text import word_count
 
@@ -164,23 +166,23 @@ def chunk_blocks(blocks: DataFrame, group: str, order: list[str], most_words: in
     keys = [group, *order, "__at"]
     kinds = {f.name: f.dataType.simpleString() for f in s.schema.fields}
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order, "__at"], kind="stable").reset_index(drop=True)
-        upto = np.r_[0, np.cumsum(pdf["__n"].to_numpy(np.int64))]
-        chunk, a = np.zeros(len(pdf), np.int32), 0
-        no = 0
-        while a < len(pdf):
-            # as many sentences as fit, but one at least that has a word
-            b = int(np.searchsorted(upto, upto[a] + most_words, side="right")) - 1
-            first = int(np.searchsorted(upto, upto[a], side="right"))
-            b = max(a + 1, b, min(first, len(pdf)))
-            no += 1
-            chunk[a:b] = no
-            a = b
-        return pdf[keys].assign(chunk_id=chunk)
+    def cut(batches):
+        now, used, no = object(), 0, 0
+        for batch in batches:
+            chunk = []
+            for g, n in zip(batch.column(group).to_pylist(), batch.column("__n").to_pylist()):
+                if g != now:
+                    now, used, no = g, n, 1
+                elif used + n > most_words and used > 0:
+                    used, no = n, no + 1
+                else:
+                    used += n
+                chunk.append(no)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(chunk, pa.int32())], names=[*keys, "chunk_id"])
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", chunk_id int"
-    chunks = s.select(*keys, "__n").groupBy(group).applyInPandas(cut, schema)
+    narrow = s.select(*keys, "__n").repartition(shuffle_partitions(s.sparkSession), group).sortWithinPartitions(*keys)
+    chunks = narrow.mapInArrow(cut, schema)
     j = s.join(chunks, keys)
     g = j.groupBy(group, "chunk_id").agg(F.array_sort(F.collect_list(F.struct(*order, "__at", "__text"))).alias("x"), F.min("page_number").cast("int").alias("page_number"), F.sum("__n").cast("int").alias("word_count"))
     return g.select(group, "chunk_id", F.array_join(F.transform("x", lambda v: v["__text"]), " ").alias("text"), "page_number", "word_count")
