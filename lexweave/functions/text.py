@@ -17,7 +17,12 @@ FOOTERS = [r"^page\s*\d+(\s*of\s*\d+)?$", r"^indian\s*kanoon", r"^https?://india
 BENCH_WORDS = r"coram|bench|hon'?ble|justice|mr\.|ms\.|dr\."
 # Phrases that a reasoned paragraph opens with.
 REASONING_OPENERS = ["in the result", "therefore", "accordingly", "hence", "thus", "we hold", "we find", "in conclusion"]
+# References to statutes, rules drawn across a page, marks that open a paragraph, and what tells citations and statutes.
 STATUTE_REFERENCE = r"\b(IPC\s*\d+|BNS\s*\d+|CrPC\s*\d+|Section\s*\d+\s+of\s+[A-Za-z\s]+Act|Art(?:icle)?s?\.?\s*\d+(?:\(\d+\))?(?:\([a-z]\))?)\b"
+SEPARATOR_RUN = r"[_=\-★☆♦—━]{4,}"
+PARAGRAPH_MARKER = r"(?U)^(\(?\d+\)?\.|[a-zA-Z]\)|[A-Z][a-z]+:)"
+CITATION = r"(?U)\bAIR\b|\bSCC\b|\bvs\.\b"
+STATUTE_NAMED = r"(?iU)\bSection\s+\d+|\bArticle\s+\d+"
 # Words that are no keywords.
 STOPWORDS = """the a an is are was were be been being have has had do does did will would could should may might shall can
 to of in for on with at by from as into through during before after above below between and but or not no nor so yet both
@@ -120,7 +125,7 @@ def strip_footers(c: Column) -> Column:
 
 def split_separators(c: Column) -> Column:
     """Runs of four or more rule characters become a line end."""
-    return F.regexp_replace(c, r"[_=\-★☆♦—━]{4,}", "\n")
+    return F.regexp_replace(c, SEPARATOR_RUN, "\n")
 
 
 def collapse_space(c: Column) -> Column:
@@ -143,7 +148,7 @@ def block_text(c: Column) -> Column:
 
 def paragraph_marker(c: Column) -> Column:
     """What a paragraph opens with: a number and a point, a letter and a bracket, or a word and a colon; else null."""
-    return F.nullif(F.regexp_extract(c, r"(?U)^(\(?\d+\)?\.|[a-zA-Z]\)|[A-Z][a-z]+:)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, PARAGRAPH_MARKER, 1), F.lit(""))
 
 
 def reasoning_cue(c: Column) -> Column:
@@ -151,11 +156,11 @@ def reasoning_cue(c: Column) -> Column:
 
 
 def has_citation(c: Column) -> Column:
-    return c.rlike(r"(?U)\bAIR\b|\bSCC\b|\bvs\.\b")
+    return c.rlike(CITATION)
 
 
 def has_statute(c: Column) -> Column:
-    return c.rlike(r"(?iU)\bSection\s+\d+|\bArticle\s+\d+")
+    return c.rlike(STATUTE_NAMED)
 
 
 def statute_references(c: Column) -> Column:
