@@ -1,15 +1,18 @@
 """Problem 1: near-duplicate records, by a prefix-tree join.
 
-Each text is the set of its hashed word n-grams. One order holds for all sets: ascending
-corpus frequency, ties by hash, so that rare n-grams come first. If two sets x, y overlap in
-at least A = ceil(t / (1 + t) * (|x| + |y|)) n-grams, then the first |x| - A + k of x and the
-first |y| - A + k of y share at least k of them. Only these prefixes are compared.
-
-The n-grams are dealt to shards by hash. A shard holds the prefixes' parts that fall to it,
-in order, as one trie: texts that agree so far share the nodes. Nodes of the same n-gram are
-joined; a pair of subtrees whose best remaining length cannot reach A any more is pruned
-before its texts are looked at. Shards return (text, text, shared n-grams); the sums decide
-which pairs are verified on whole texts. The filter loses no pair.
+Each text is the set of its hashed word n-grams. The n-grams are dealt to slices by hash, and so is
+each set. If two sets have a similarity of at least t, they have it in one slice at least: all slices'
+overlaps over all slices' unions cannot be more than the largest of their shares. Slices are
+sent once, whatever partners they have, and decide on their own; nothing is summed over them. As
+slices should have some 14 to 56 n-grams, their number goes by classes of sizes, and a set
+is sent to a class above as well if its partners may be there.
+
+One order holds for all slices: ascending corpus frequency, ties by hash, so that rare n-grams come first.
+If two slices x, y overlap in at least A = ceil(t / (1 + t) * (|x| + |y|)) n-grams, the first
+|x| - A + 2 of x and the first |y| - A + 2 of y share at least two of them. A shard holds the first two
+levels of a prefix tree whose paths are such pairs of n-grams: slices that end at one node share two
+and are compared, by sizes, by 64 bits of each and by their n-grams. The pairs found in any slice are
+verified on whole texts. The filter loses no pair.
 """
 
 from __future__ import annotations
@@ -18,26 +21,29 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.components import connected_components
 from lexweave.llm.shingles import WordHashes, distinct_ngrams, mix
-from lexweave.session import durable, shuffle_partitions
+from lexweave.session import durable
 
 #: Ids that may be broadcast (8 bytes each); above, a shuffled join does the same.
 BROADCAST_IDS = 500_000
-#: Postings of one n-gram that one shard compares; above, they are salted into blocks.
-HOT = 2_000
+#: Texts that one shard compares, by a slice each; above, they are dealt into blocks and a shard has a pair of blocks.
+HOT = 3_000_000
 PIECES = 64
-#: log2 of the cells of the largest frequency table that is broadcast. A corpus that needs a larger one, at CELLS a text,
-#: counts its n-grams by a shuffle, which gives the same pairs.
-TABLE_BITS, CELLS = 25, 64
+#: log2 of the cells of the frequency table at most; a corpus gets CELLS a text up to that. Beyond it several n-grams share a
+#: cell, which only worsens the order.
+TABLE_BITS, CELLS = 24, 64
+#: Slices of a class at most.
+MOST_SLICES = 4096
 
 
 def _cells(n_texts: int) -> int:
-    """log2 of the frequency table's cells, at least 18."""
-    return int(max(18, np.ceil(np.log2(max(1, n_texts) * CELLS))))
+    """log2 of the frequency table's cells: as many as its pieces at least."""
+    return int(max(np.log2(PIECES), min(TABLE_BITS, max(18, np.ceil(np.log2(max(1, n_texts) * CELLS))))))
 
 
 def _scale(counts: np.ndarray) -> np.ndarray:
@@ -61,12 +67,12 @@ def read_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
-def first_pass(texts: DataFrame, n: int, bits: int | None) -> DataFrame:
+def first_pass(texts: DataFrame, n: int, bits: int) -> DataFrame:
     """Two kinds of rows in one reading of the texts.
 
     (id, print, size): a 128-bit print of each text's n-gram set; texts without an n-gram are left
     out. (piece, task, counts): in how many of a task's texts an n-gram of each of the 2**bits cells
-    occurs, in PIECES compressed pieces; none if bits is None.
+    occurs, in PIECES compressed pieces.
     """
 
     def run(batches):
@@ -74,7 +80,7 @@ def first_pass(texts: DataFrame, n: int, bits: int | None) -> DataFrame:
         from pyspark import TaskContext
 
         known = WordHashes()
-        table = None if bits is None else np.zeros(1 << bits, np.uint32)
+        table = np.zeros(1 << bits, np.uint32)
         empty = {"piece": None, "task": None, "counts": None}
         for pdf in batches:
             ids, out, sizes = [], [], []
@@ -84,12 +90,11 @@ def first_pass(texts: DataFrame, n: int, bits: int | None) -> DataFrame:
                     ids.append(i)
                     out.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    if table is not None:
-                        table[np.unique((s >> np.uint64(64 - bits)).astype(np.int64))] += np.uint32(1)
+                    cells = (s >> np.uint64(64 - bits)).astype(np.int64)  # ascending, as s is
+                    table[cells[np.r_[True, cells[1:] != cells[:-1]]]] += np.uint32(1)
             yield pd.DataFrame({"id": np.array(ids, np.int64), "print": out, "size": np.array(sizes, np.int32), **empty})
-        if table is not None:
-            parts = [zlib.compress(p.tobytes(), 1) for p in table.reshape(PIECES, -1)]
-            yield pd.DataFrame({"id": None, "print": None, "size": None, "piece": np.arange(PIECES), "task": TaskContext.get().partitionId(), "counts": parts})
+        parts = [zlib.compress(p.tobytes(), 1) for p in table.reshape(PIECES, -1)]
+        yield pd.DataFrame({"id": None, "print": None, "size": None, "piece": np.arange(PIECES), "task": TaskContext.get().partitionId(), "counts": parts})
 
     return texts.mapInPandas(run, "id long, print binary, size int, piece int, task int, counts binary")
 
@@ -115,227 +120,199 @@ def frequency_table(parts: DataFrame, bits: int):
 
 
 def from_table(texts: DataFrame, n: int, bits: int, table):
-    """The texts, and what makes (ids, n-gram sets, frequencies) of a batch, by the table: two n-grams in a cell only worsen the order."""
+    """The texts, and what makes (ids, n-gram sets, frequencies as bytes) of a batch, by the table: two n-grams in a cell only worsen the order."""
 
     def run(batches):
-        known, freq_of, size_of = WordHashes(), table.value, _unscale(np.arange(256)).astype(np.int64)
+        known, freq_of = WordHashes(), table.value
         for pdf in batches:
             sets = [distinct_ngrams(text, n, known) for text in pdf["text"]]
             keep = [k for k, s in enumerate(sets) if len(s)]
             sets = [sets[k] for k in keep]
-            counts = [size_of[freq_of[(s >> np.uint64(64 - bits)).astype(np.int64)]] for s in sets]
+            counts = [freq_of[(s >> np.uint64(64 - bits)).astype(np.int64)] for s in sets]
             yield pdf["id"].to_numpy()[keep], sets, counts
 
     return texts, run
 
 
-def counted(texts: DataFrame, n: int):
-    """The same with exact counts, by a shuffle of n-grams: those of one text only are counted but not sent back."""
+def _slices(c: int) -> int:
+    """Slices of the sets of class c, so that one has some 14 to 56 n-grams of a set."""
+    return min(MOST_SLICES, max(1, _lower(c) // 14))
 
-    def split(batches):
-        known = WordHashes()
-        for pdf in batches:
-            sets = [distinct_ngrams(text, n, known) for text in pdf["text"]]
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), [len(s) for s in sets]), "gram": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64), "size": np.repeat([len(s) for s in sets], [len(s) for s in sets])})
-
-    grams = texts.mapInPandas(split, "id long, gram long, size int").distinct()
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    own = grams.join(often, "gram").groupBy("id").agg(F.first("size").alias("size"), F.collect_list(F.struct("gram", "n")).alias("x"))
-    own = own.select("id", "size", F.transform("x", lambda v: v["gram"]).alias("grams"), F.transform("x", lambda v: v["n"]).alias("counts"))
-
-    def run(batches):
-        for pdf in batches:
-            sets, counts = [], []
-            for size, g, c in zip(pdf["size"], pdf["grams"], pdf["counts"]):
-                # those of this text only come first in the order, whatever they are
-                alone = size - len(g)
-                sets.append(np.r_[np.zeros(alone, np.uint64), np.asarray(g, np.int64).view(np.uint64)])
-                counts.append(np.r_[np.ones(alone, np.int64), np.asarray(c, np.int64)])
-            yield pdf["id"].to_numpy(), sets, counts
 
-    return own, run
+def _lower(c: int) -> int:
+    """The least size of a set of class c; class 0 has all sets below 64."""
+    return 16 * 4**c if c else 0
 
 
-def _ordered_prefix(s: np.ndarray, freq: np.ndarray, t: float, k: int):
-    """The n-grams of s that a partner must share k of, in the global order, and their frequencies."""
-    order = np.lexsort((s, freq))
-    take = len(s) - int(np.ceil(t * len(s) - 1e-9)) + k
-    order = order[:take]
-    return s[order], freq[order]
+def _prefix(sizes: np.ndarray, t: float) -> np.ndarray:
+    """How many of the first n-grams of slices of these sizes a partner must share two of; all of them if one may be enough."""
+    few = sizes + 1 <= (1 + t) / t + 1e-9
+    return np.where(few, sizes, np.minimum(sizes, sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 2))
 
 
-def postings(source, t: float, k: int, shards: int) -> DataFrame:
-    """The prefixes dealt to shards; a row packs what one batch of texts gives one shard.
+def postings(source, t: float, blocks: int) -> DataFrame:
+    """The slices of all sets in the global order; a row packs what some texts give one shard.
 
-    source: a DataFrame and what makes (ids, sets, frequencies) of its batches. An n-gram in one
-    text only has no partner and is not sent; it keeps its position. An n-gram of more than HOT
-    texts is salted: its texts fall into blocks by its count, and each pair of blocks is a cell
-    with a shard of its own.
+    source: a DataFrame and what makes (ids, sets, frequency bytes) of its batches. Frequencies are
+    ordered as bytes, n-grams told apart by 16 bits within a slice: both only add candidates. An n-gram
+    in one text only has no partner and is not sent; it keeps its position. A slice whose prefix has
+    too few others gives no candidate and is not sent. A set goes to its size's class and to
+    those above that a partner can be of. Of more than one block, a shard has a pair of blocks.
     """
     rows_of, sets_of = source
 
     def deal(batches):
-        for own_ids, sets, counts in sets_of(batches):
-            ids, sizes, toks, pos, side, doc = [], [], [], [], [], []
-            for i, s, f in zip(own_ids, sets, counts):
-                g, f = _ordered_prefix(s, f, t, k)
-                p = np.arange(len(g))
-                shared = f > 1
-                g, f, p = g[shared], f[shared], p[shared]
-                if not len(g):
-                    continue
-                tag = np.full(len(g), 2, np.uint8)
-                blocks = -(-f // HOT)
-                if blocks.max(initial=1) > 1:
-                    more_g, more_p, more_t = [], [], []
-                    for j in np.flatnonzero(blocks > 1):
-                        b = int(blocks[j])
-                        own = int(mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(b))
-                        other = np.arange(b)
-                        cell = np.minimum(other, own) * b + np.maximum(other, own) + 1
-                        more_g.append(mix(g[j] ^ mix(cell.astype(np.uint64))))
-                        more_p.append(np.full(b, p[j]))
-                        more_t.append(np.where(other == own, 2, other > own).astype(np.uint8))
-                    one = blocks <= 1
-                    g, p, tag = np.concatenate([g[one], *more_g]), np.concatenate([p[one], *more_p]), np.concatenate([tag[one], *more_t])
-                    order = np.argsort(p, kind="stable")
-                    g, p, tag = g[order], p[order], tag[order]
-                doc.append(np.full(len(g), len(ids), np.int64))
-                ids.append(i)
-                sizes.append(len(s))
-                toks.append(g)
-                pos.append(p)
-                side.append(tag)
-            if not ids:
-                continue
-            g, p, tag, d = map(np.concatenate, (toks, pos, side, doc))
-            shard = (mix(g) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            g, p, tag, d, shard = g[order], p[order], tag[order], d[order], shard[order]
-            ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int32)
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            rows = []
-            for a, b in zip(cuts, np.r_[cuts[1:], len(g)]):
-                own, lens = np.unique(d[a:b], return_counts=True)
-                rows.append((int(shard[a]), ids[own].tobytes(), sizes[own].tobytes(), lens.astype(np.int32).tobytes(), g[a:b].astype(np.uint32).tobytes(), np.minimum(p[a:b], 65535).astype(np.uint16).tobytes(), tag[a:b].tobytes() if (tag[a:b] != 2).any() else b""))
-            yield pd.DataFrame(rows, columns=["shard", "ids", "sizes", "lens", "grams", "pos", "side"])
-
-    return rows_of.mapInPandas(deal, "shard int, ids binary, sizes binary, lens binary, grams binary, pos binary, side binary")
-
-
-def build_trie(lens: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """The trie's node of each element of the sequences laid end to end, built a level at a time.
-
-    Two elements have one node if their sequences are equal up to and with them.
+        for ids, sets, counts in sets_of(batches):
+            own = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            for block in np.unique(own):
+                mine = np.flatnonzero(own == block)
+                for at in range(0, len(mine), 2048):
+                    part = mine[at : at + 2048]
+                    rows = list(pack(ids[part], [sets[k] for k in part], [counts[k] for k in part]))
+                    cells = [min(block, k) * blocks + max(block, k) for k in range(blocks)]
+                    yield pd.DataFrame([(*r[:2], int(c), *r[2:]) for r in rows for c in cells], columns=["class", "slice", "cell", "ids", "totals", "sizes", "lens", "grams"])
+
+    def pack(ids, sets, counts):
+        n = np.array([len(s) for s in sets], np.int64)
+        home = np.maximum(0, (np.log2(n).astype(np.int64) - 4) // 2)
+        doc, cls = [np.arange(len(n))], [home]
+        while len(own := doc[-1][n[doc[-1]] >= t * np.array([_lower(c + 1) for c in cls[-1]]) - 1e-9]):
+            doc, cls = [*doc, own], [*cls, home[own] + len(doc)]
+        doc, cls = np.concatenate(doc), np.concatenate(cls)
+        parts = np.array([_slices(c) for c in range(cls.max() + 1)], np.int64)
+        base = np.r_[0, np.cumsum(parts)]
+        g, f = np.concatenate([sets[k] for k in doc]), np.concatenate([counts[k] for k in doc])
+        each = np.repeat(np.arange(len(doc)), n[doc])
+        shard = base[cls][each] + ((g & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts[cls][each])
+        # one word an n-gram: shard, text, frequency, 16 bits of its hash
+        word = np.sort((shard.astype(np.uint64) << np.uint64(36)) | (doc[each].astype(np.uint64) << np.uint64(24)) | (f.astype(np.uint64) << np.uint64(16)) | ((g >> np.uint64(32)) & np.uint64(0xFFFF)))
+        head = word >> np.uint64(24)
+        first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+        sizes = np.diff(np.r_[first, len(word)])
+        shared = (word >> np.uint64(16)).astype(np.uint8) > 1
+        lens = np.add.reduceat(shared, first, dtype=np.int64)
+        least = np.where(sizes + 1 <= (1 + t) / t + 1e-9, 1, 2)
+        keep = _prefix(sizes, t) - (sizes - lens) >= least
+        grams = word[np.repeat(keep, sizes) & shared].astype(np.uint16)
+        head, sizes, lens = head[first][keep], sizes[keep], lens[keep]
+        shard, doc = (head >> np.uint64(12)).astype(np.int64), (head & np.uint64(0xFFF)).astype(np.int64)
+        end = np.cumsum(lens)
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(shard)].astype(np.int64)):
+            c = int(np.searchsorted(base, shard[a], side="right")) - 1
+            yield c, int(shard[a] - base[c]), ids[doc[a:b]].tobytes(), n[doc[a:b]].astype(np.int32).tobytes(), sizes[a:b].astype(np.int32).tobytes(), lens[a:b].astype(np.int32).tobytes(), grams[end[a] - lens[a] : end[b - 1]].tobytes()
+
+    return rows_of.mapInPandas(deal, "class int, slice int, cell int, ids binary, totals binary, sizes binary, lens binary, grams binary")
+
+
+def _spans(counts: np.ndarray, most: int = 1_000_000):
+    """Ranges of positions whose counts sum to at most `most`, or that have one position."""
+    total, a = np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _inner(counts: np.ndarray):
+    """For each position as often as its count: the position, and a number from 0."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
+def slice_join(totals, sizes, lens, grams, side, lower: int, t: float):
+    """Pairs of rows (a, b) whose slices have a similarity of at least t: arrays of positions, each pair once.
+
+    totals: sizes of whole sets, one of which is at least lower; sizes: of slices; lens, grams: their
+    n-grams with a partner, in order; side: rows of equal side are not paired, unless it is negative.
     """
-    start = np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64)
-    _, rank = np.unique(grams, return_inverse=True)
-    node = np.zeros(len(grams), np.int64)
-    parent, known = np.zeros(len(lens), np.int64), 0
-    for level in range(int(lens.max(initial=0))):
-        live = np.flatnonzero(lens > level)
-        at = start[live] + level
-        _, child = np.unique(parent[live] * np.int64(len(grams) + 1) + rank[at], return_inverse=True)
-        child = child + known + 1
-        known = int(child.max())
-        node[at] = child
-        parent[live] = child
-    return node
-
-
-def _triangle(m: int, block: int = 1500):
-    """Index pairs i <= j below m, in blocks of bounded size."""
-    for a in range(0, m, block):
-        for b in range(a, m, block):
-            i, j = np.meshgrid(np.arange(a, min(m, a + block)), np.arange(b, min(m, b + block)), indexing="ij")
-            keep = i <= j
-            yield i[keep], j[keep]
-
-
-def trie_join(ids, sizes, lens, grams, pos, side, t: float, k: int):
-    """Pairs of texts with the prefix n-grams they share in this shard: arrays (a, b, shared)."""
-    doc = np.repeat(np.arange(len(ids)), lens)
-    node = build_trie(lens, grams)
-    # elements by n-gram, then node: a node's texts lie together, and so do an n-gram's nodes
-    order = np.lexsort((node, grams))
-    grams, node, doc, pos, side = grams[order], node[order], doc[order], pos[order], side[order]
-    size = sizes[doc].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])  # a node has one n-gram
-    count = np.diff(np.r_[first, len(node)])
-    low, high = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first)
-    room = np.maximum.reduceat(size - pos, first)  # the most that any text of the subtree has left
-    group = np.flatnonzero(np.r_[True, grams[first][1:] != grams[first][:-1]])
-    nodes_in = np.diff(np.r_[group, len(first)])
-    out_a, out_b = [], []
-
-    def expand(u, v):
-        """Pairs of texts below the node pairs (u, v), by the bounds of each pair."""
-        per = count[u] * count[v]
-        while len(u):
-            upto = max(1, int(np.searchsorted(np.cumsum(per), 4_000_000, side="right")))
-            pu, pv, n = u[:upto], v[:upto], per[:upto]
-            which = np.repeat(np.arange(len(pu)), n)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            i = first[pu][which] + inner // count[pv][which]
-            j = first[pv][which] + inner % count[pv][which]
-            keep = (pu[which] != pv[which]) | (i < j)
-            i, j = i[keep], j[keep]
-            need = _bound(size[i], size[j], t)
-            kk = np.minimum(k, need)
-            keep = (np.minimum(size[i], size[j]) >= need) & (pos[i] <= size[i] - need + kk - 1) & (pos[j] <= size[j] - need + kk - 1)
-            keep &= (side[i] != side[j]) | (side[i] == 2)
-            a, b = doc[i[keep]], doc[j[keep]]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-            u, v, per = u[upto:], v[upto:], per[upto:]
-
-    def prune(u, v):
-        """Drop pairs of subtrees that cannot reach the bound with what remains below them."""
-        need = _bound(np.maximum(low[u], np.ceil(t * low[v] - 1e-9)), np.maximum(low[v], np.ceil(t * low[u] - 1e-9)), t)
-        keep = (high[u] >= np.ceil(t * low[v] - 1e-9)) & (high[v] >= np.ceil(t * low[u] - 1e-9))
-        keep &= (np.minimum(room[u], room[v]) + k - 1 >= need) & ((u != v) | (count[u] > 1))
-        return u[keep], v[keep]
-
-    # n-grams of few nodes together, by their number of nodes; those of many one by one, in blocks
-    for m in np.unique(nodes_in[nodes_in <= 64]):
-        heads = group[nodes_in == m]
-        i, j = np.triu_indices(m)
-        step = max(1, 2_000_000 // len(i))
-        for a in range(0, len(heads), step):
-            h = heads[a : a + step, None]
-            expand(*prune((h + i).ravel(), (h + j).ravel()))
-    for h, m in zip(group[nodes_in > 64], nodes_in[nodes_in > 64]):
-        for i, j in _triangle(int(m)):
-            expand(*prune(h + i, h + j))
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    key = np.concatenate(out_a) * np.int64(len(ids)) + np.concatenate(out_b)
-    key, shared = np.unique(key, return_counts=True)
-    a, b = key // len(ids), key % len(ids)
-    differ = ids[a] != ids[b]
-    return a[differ], b[differ], shared[differ].astype(np.int32)
-
-
-def candidate_pairs(dealt: DataFrame, t: float, k: int) -> DataFrame:
-    """(a, b), a < b: all pairs whose prefixes share as many n-grams as a similarity of t demands."""
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
-        ids, sizes, lens, grams, pos = get("ids", np.int64), get("sizes", np.int32), get("lens", np.int32), get("grams", np.uint32), get("pos", np.uint16)
-        side = np.concatenate([np.frombuffer(s, np.uint8) if s else np.full(len(g) // 4, 2, np.uint8) for s, g in zip(pdf["side"], pdf["grams"])])
+    start = np.cumsum(lens, dtype=np.int64) - lens
+    depth = np.minimum(lens, _prefix(sizes, t) - (sizes - lens))
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (grams & 63).astype(np.uint64), start)
+    found: list[np.ndarray] = []
+
+    def judge(i, j):
+        """Keep the pairs that are similar: by sizes, by 64 bits of a slice, then by its n-grams."""
+        need = _bound(sizes[i], sizes[j], t)
+        keep = (np.maximum(totals[i], totals[j]) >= lower) & ((side[i] != side[j]) | (side[i] < 0))
+        keep &= np.minimum(totals[i], totals[j]) >= _bound(totals[i], totals[j], t)
+        keep &= lens[i] - np.bitwise_count(bits[i] & ~bits[j]).astype(np.int64) >= need
+        keep &= lens[j] - np.bitwise_count(bits[j] & ~bits[i]).astype(np.int64) >= need
+        key = _distinct(np.minimum(i[keep], j[keep]) * len(sizes) + np.maximum(i[keep], j[keep]))
+        i, j = key // len(sizes), key % len(sizes)
+        for a, b in _spans(lens[i].astype(np.int64) * lens[j], 4_000_000):
+            p, k = _inner(lens[i[a:b]].astype(np.int64) * lens[j[a:b]])
+            u, v = i[a:b][p], j[a:b][p]
+            same = grams[start[u] + k // lens[v]] == grams[start[v] + k % lens[v]]
+            # n-grams of the one that the other has: never fewer than they share
+            at = _distinct((p * 65536 + k // lens[v])[same]) // 65536
+            enough = np.bincount(at, minlength=b - a) >= _bound(sizes[i[a:b]], sizes[j[a:b]], t)
+            found.append(key[a:b][enough])
+
+    def meet(words):
+        """Judge the pairs of rows of one key; a word is a key and, in its lower half, a row."""
+        words = np.sort(words)
+        key, at = words >> np.uint64(32), (words & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        more = np.searchsorted(key, key, side="right") - np.arange(len(words)) - 1
+        for a, b in _spans(more):
+            p, k = _inner(more[a:b])
+            i, j = at[a + p], at[a + p + 1 + k]
+            judge(i[i < j], j[i < j])
+
+    # the first n-gram shared and the second one are a key; keys are taken in turns of bounded size
+    kinds, times = np.unique(depth, return_counts=True)
+    turns = 1 + int((kinds * (kinds - 1) // 2 * times).sum()) // 6_000_000
+    for turn in range(turns):
+        words = [np.empty(0, np.uint64)]
+        for d in kinds[kinds > 1]:
+            rows = np.flatnonzero(depth == d)
+            for cut in range(0, len(rows), 100_000):
+                x = rows[cut : cut + 100_000]
+                g = grams[start[x, None] + np.arange(d)].astype(np.uint64)
+                for b in range(1, d):
+                    for a in range(b):
+                        key = (g[:, a] << np.uint64(16)) | g[:, b]
+                        w = (key << np.uint64(32)) | x.astype(np.uint64)
+                        words.append(w if turns == 1 else w[(key * np.uint64(40503) >> np.uint64(12)) % np.uint64(turns) == turn])
+        meet(np.concatenate(words))
+    # slices so small that one n-gram may be enough
+    few = np.flatnonzero(sizes + 1 <= (1 + t) / t + 1e-9)
+    k, inner = _inner(lens[few])
+    meet((grams[start[few][k] + inner].astype(np.uint64) << np.uint64(32)) | few[k].astype(np.uint64))
+    key = _distinct(np.concatenate([np.empty(0, np.int64), *found]))
+    return key // len(sizes), key % len(sizes)
+
+
+def candidate_pairs(dealt: DataFrame, t: float, blocks: int) -> DataFrame:
+    """(a, b), a < b: all pairs that have a similarity of t in one slice, among them all that have it as a whole."""
+
+    def join(rows: pa.Table) -> pa.Table:
+        c, cell = rows["class"][0].as_py(), rows["cell"][0].as_py()
+
+        def get(name, kind):
+            # the values of a binary column lie end to end
+            x = rows[name].combine_chunks()
+            x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+            at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+            return np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+
+        ids, totals, sizes, lens, grams = get("ids", np.int64), get("totals", np.int32), get("sizes", np.int32), get("lens", np.int32), get("grams", np.uint16)
         # a text that was sent again came twice: keep one of each id
         _, one = np.unique(ids, return_index=True)
         if len(one) < len(ids):
             keep = np.zeros(len(ids), bool)
             keep[one] = True
-            element = np.repeat(keep, lens)
-            ids, sizes, lens, grams, pos, side = ids[keep], sizes[keep], lens[keep], grams[element], pos[element], side[element]
-        a, b, shared = trie_join(ids, sizes, lens, grams, pos.astype(np.int64), side, t, k)
-        need = np.minimum(k, _bound(sizes[a].astype(np.int64), sizes[b].astype(np.int64), t)).astype(np.int32)
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "shared": shared, "need": need})
+            ids, totals, sizes, grams, lens = ids[keep], totals[keep], sizes[keep], grams[np.repeat(keep, lens)], lens[keep]
+        side = np.full(len(ids), -1) if cell // blocks == cell % blocks else (mix(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        a, b = slice_join(totals, sizes, lens, grams, side, _lower(c), t)
+        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    found = dealt.groupBy("shard").applyInPandas(join, "a long, b long, shared int, need int")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    return dealt.groupBy("class", "slice", "cell").applyInArrow(join, "a long, b long").distinct()
 
 
 def _semi(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -381,29 +358,25 @@ class NearDuplicates:
     Representatives stand for ids whose n-gram sets are equal; the smallest id of them is taken.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, k: int = 4):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8):
         """Rows with a null id or text, and texts with fewer than n words, have no partner and are left out.
 
         Rows that repeat an id with the same text count once. Other columns are ignored.
         """
-        spark = df.sparkSession
         self.texts = texts = read_texts(df, id_col, text_col)
         bits = _cells(texts.count())
-        bits = bits if bits <= TABLE_BITS else None
         first = durable(first_pass(texts, n, bits))
         prints = first.where("id is not null").select("id", "print").distinct()
         reps = prints.groupBy("print").agg(F.min("id").alias("rep"))
         self.members = durable(prints.join(reps, "print").groupBy("id").agg(F.min("rep").alias("rep")))
-        total = self.members.count()
+        own = self.members.where("id = rep").select("id")
         copies = self.members.where("id <> rep").select("id")
-        whole = _semi(texts, copies, "left_anti")
-        if bits is None:
-            source = counted(whole, n)
-        else:
-            source = from_table(whole, n, bits, frequency_table(first.where("piece is not null"), bits))
-        shards = max(shuffle_partitions(spark), 1 + total // 20_000)
-        dealt = postings(source, threshold, k, shards)
-        candidates = durable(candidate_pairs(dealt, threshold, k))
+        total = own.count()
+        # the shorter list of the two, so that texts are shuffled only if both are long
+        whole = _semi(texts, own, "left_semi") if total < copies.count() else _semi(texts, copies, "left_anti")
+        blocks = 1 if total <= HOT else -(-2 * total // HOT)
+        dealt = postings(from_table(whole, n, bits, frequency_table(first.where("piece is not null"), bits)), threshold, blocks)
+        candidates = durable(candidate_pairs(dealt, threshold, blocks))
         self.pairs = verify(candidates, whole, n, threshold)
 
     def all_pairs(self) -> DataFrame:

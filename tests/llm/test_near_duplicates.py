@@ -73,6 +73,43 @@ def test_an_ngram_of_very_many_texts_is_split(spark):
     assert np.all(np.diff(nd._scale(counts).astype(int)) > 0) and np.all(nd._unscale(nd._scale(counts)) >= counts * 0.99)
 
 
+def shuffled(spark, f):
+    """Bytes that a call writes for shuffles."""
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = stages()
+    f()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def phrased(n_docs):
+    rng = random.Random(3)
+    phrases = [" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(400)]
+    rows = [(k, " ".join(rng.choice(phrases) for _ in range(20))) for k in range(n_docs)]
+    return rows + [(n_docs + k, rows[k][1] + " and more") for k in range(5)]
+
+
+def test_the_shuffle_grows_with_texts_and_not_with_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "TABLE_BITS", 14)  # a corpus beyond the frequency table
+    size = {}
+    for n in (300, 1_200):
+        df = spark.createDataFrame(phrased(n), "k bigint, t string").repartition(4)
+        size[n] = shuffled(spark, lambda: size.setdefault(-n, nd.NearDuplicates(df, "k", "t", 3, 0.6).all_pairs().count()))  # noqa: B023
+    assert size[-300] == size[-1_200] == 5 and size[1_200] < 6 * size[300], size
+
+
+def test_pairs_of_all_size_classes(spark):
+    # pairs across the classes' limits of 64 and 256 n-grams, and of few n-grams
+    for t, n in ((0.6, 1), (0.6, 3), (0.2, 2)):
+        rows = []
+        for k, words in enumerate([1, 2, 3, 5, 50, 62, 64, 66, 100, 240, 254, 258, 300, 400, 900]):
+            base = [f"u{k}x{j}" for j in range(words + n - 1)]
+            cut = int(len(base) * (1 - t))
+            rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[cut // 2 :])), (10 * k + 2, " ".join(base[cut:])), (10 * k + 3, " ".join([*base, *(f"v{k}x{j}" for j in range(cut))])), (10 * k + 4, " ".join(base[: 1 + len(base) // 4]))]
+        df = spark.createDataFrame(rows, "k bigint, t string").repartition(3)
+        assert {tuple(r) for r in nd.NearDuplicates(df, "k", "t", n, t).all_pairs().collect()} == brute(rows, n, t), (t, n)
+
+
 def test_groups(spark):
     base = "a b c d e f g h i j k l m n o p q r s t"
     rows = [(1, base), (2, base), (3, base + " u"), (4, "other words that nothing else has at all here"), (5, None)]
