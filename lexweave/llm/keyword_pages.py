@@ -50,7 +50,7 @@ MEASURES = ["function_words", "separators", "pairs", "top_word"]
 
 _TOKEN = re.compile(r"[\ẁ-ͯऀ-ॣ०-෿]+")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|(?<!\w)#\w+", re.I)
-_SEPARATOR = re.compile(r"[|/•·»;,:]|(?<=\s)[-*>](?=\s)")
+_ALONE = re.compile(r"(?<=\s)[-*>](?=\s)")
 _NUMBER = re.compile(r"\d[\d.,]*")
 _SENTENCE = tuple(".?!।…\"”’)")
 
@@ -59,6 +59,12 @@ def words_of(line: str) -> list[str]:
     return [w for w in _TOKEN.findall(line.lower()) if not w.isdigit()]
 
 
+def separators_in(line: str) -> int:
+    """The marks | / • · » ; , : and each - * > that stands alone."""
+    n = sum(map(line.count, "|/;,:" if line.isascii() else "|/;,:•·»"))
+    return n + len(_ALONE.findall(line)) if "-" in line or "*" in line or ">" in line else n
+
+
 def script_of(text: str) -> str:
     """The block of 128 code points, Latin ones together, that most of a page's letters belong to."""
     if text.isascii():
@@ -112,7 +118,7 @@ class Languages:
         """The language with the largest share of known words, -1 if none has enough."""
         if not words or not self.known:
             return -1
-        shares = [sum(w in k for w in words) for k in self.known]
+        shares = [sum(map(k.__contains__, words)) for k in self.known]
         best = int(np.argmax(shares))
         return best if shares[best] >= OWN_WORDS * len(words) else -1
 
@@ -124,29 +130,29 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        def rows(c):
-            return pd.DataFrame([(*k, *v) for k, v in c.items()], columns=["grp", "word", "pages", "sentences", "others"])
+        def rows():
+            return pd.DataFrame([(g, w, n, sent[w], other[w]) for g, (pages, sent, other) in c.items() for w, n in pages.items()], columns=["grp", "word", "pages", "sentences", "others"])
 
-        c: dict[tuple[str, str], list[int]] = {}
+        c: dict[str, tuple[Counter, Counter, Counter]] = {}
         for pdf in batches:
             for label, text in zip(pdf["lang"], pdf["text"]):
-                sent, other = Counter(), Counter()
+                sent, other = [], []
                 for line in text.split("\n"):
                     if line and not line.isspace():
                         line = line.strip()
                         w = words_of(_LINK.sub(" ", line) if "http" in line or "www." in line or "#" in line or "@" in line else line)
-                        (sent if len(w) >= 8 and line.endswith(_SENTENCE) else other).update(w)
+                        (sent if len(w) >= 8 and line.endswith(_SENTENCE) else other).extend(w)
                 g = group_of(label, script_of(text))
-                c.setdefault((g, ""), [0, 0, 0])[0] += 1
-                for w in sent.keys() | other.keys():
-                    x = c.setdefault((g, w), [0, 0, 0])
-                    x[0] += 1
-                    x[1] += sent[w]
-                    x[2] += other[w]
-            if len(c) > 500_000:
-                yield rows(c)
+                if g not in c:
+                    c[g] = Counter(), Counter(), Counter()
+                pages, in_sent, in_other = c[g]
+                pages.update({"", *sent, *other})
+                in_sent.update(sent)
+                in_other.update(other)
+            if sum(len(pages) for pages, _, _ in c.values()) > 500_000:
+                yield rows()
                 c = {}
-        yield rows(c)
+        yield rows()
 
     parts = texts.mapInPandas(run, "grp string, word string, pages long, sentences long, others long")
     return parts.groupBy("grp", "word").agg(F.sum("pages").alias("pages"), F.sum("sentences").alias("sentences"), F.sum("others").alias("others"))
@@ -196,15 +202,18 @@ def measure(text: str, known: Languages):
     language = known.of(words)
     function = known.function[language] if language >= 0 else frozenset()
     counts, pairs, copies = Counter(words), Counter(), Counter(rest for rest, *_ in lines)
+    # a pair that comes twice is of two words that do
+    twice = {w for w, c in counts.items() if c > 1}
     for _, ws, _, _ in lines:
-        pairs.update(zip(ws, ws[1:]))
+        pairs.update([p for p in zip(ws, ws[1:]) if p[0] in twice and p[1] in twice])
+    top_pair = max(pairs.values(), default=int(any(len(ws) > 1 for _, ws, _, _ in lines)))
     again = {p for p, c in pairs.items() if c >= REPEATED}
-    top, top_n = max(((w, c) for w, c in counts.items() if w not in function), key=lambda x: (x[1], x[0]), default=("", 0))
+    top_n, top = max(((c, w) for w, c in counts.items() if w not in function), default=(0, ""))
     if top_n < REPEATED:
         top = ""
     rows = []
     for rest, ws, link_line, figures in lines:
-        separators = len(_SEPARATOR.findall(rest))
+        separators = separators_in(rest)
         marks += separators
         n = len(ws)
         if not n:
@@ -214,18 +223,18 @@ def measure(text: str, known: Languages):
         sep = min(BINS - 1, int(separators / n * scale))
         for k in range(parts):
             a, b = n * k // parts, n * (k + 1) // parts
-            c = ws[a:b]
+            c = ws[a:b] if parts > 1 else ws
             m = b - a
-            f = sum(w in function for w in c) if function else 0
-            p = sum(x in again for x in zip(c, c[1:])) if again else 0
-            rows.append((min(65535, sum(map(len, c)) + m), min(BINS - 1, int(f / m * BINS)), sep, min(BINS - 1, int(p / max(1, m - 1) * BINS)), min(BINS - 1, int(c.count(top) / m * BINS)) if top else 0, link_line, copies[rest] >= REPEATED, figures))
+            f = sum(map(function.__contains__, c)) if function else 0
+            p = sum(map(again.__contains__, zip(c, c[1:]))) if again else 0
+            rows.append((min(65535, len("".join(c)) + m), min(BINS - 1, int(f / m * BINS)), sep, min(BINS - 1, int(p / max(1, m - 1) * BINS)), min(BINS - 1, int(c.count(top) / m * BINS)) if top else 0, link_line, copies[rest] >= REPEATED, figures))
     n = max(1, len(words))
     return (
         language,
         n_words,
         link_chars,
         top_n / n,
-        max(pairs.values(), default=0) / n,
+        top_pair / n,
         sum(c for c in copies.values() if c > 1) / len(lines),
         marks / n,
         np.array(rows, CHUNK_KIND).tobytes(),

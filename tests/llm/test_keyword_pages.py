@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from lexweave.llm import keyword_pages as kp
@@ -91,3 +93,12 @@ def test_bounds():
     assert kp.upper_bound(h) == kp.BINS and kp.function_bounds(h) == {"function_words": 0, "usual": 0}
     h[20:24] = 100
     assert kp.upper_bound(h) == 23 and 6 <= kp.function_bounds(h)["function_words"] <= 11
+
+
+def test_separators_and_pairs_are_counted_in_full():
+    line = "a - b | c/d; e, f: g \u2022 h \u00b7 i \u00bb j * k > l x-y -z a*b -"
+    assert kp.separators_in(line) == len(re.findall(r"[|/\u2022\u00b7\u00bb;,:]|(?<=\s)[-*>](?=\s)", line)) == 11
+    words = " ".join(f"w{k}x" for k in range(20))
+    none = kp.Languages({}, {})
+    top_pair = lambda text: round(kp.measure(text, none)[4] * len(text.split()))
+    assert [top_pair(t) for t in (words, words.replace(" ", "\n"), words + " w3x w4x", words + " w3x w5x", words + " a b a b a b")] == [1, 0, 2, 1, 3]
